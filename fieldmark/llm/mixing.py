@@ -88,6 +88,8 @@ def draw(per: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOS
     rows = rows.withColumn("want", F.col("target") / F.col("source_size") * F.col("blocks"))
     rows = rows.withColumns({"slots": F.ceil(total), "high": F.sum("want").over(order.rowsBetween(W.unboundedPreceding, 0)) / total})
     rows = rows.withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
+    # So far one task and a row a source; from here on dealt out, as shards and slots grow with the data.
+    rows = rows.repartition("source")
     rows = rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard))))
     here = F.least(F.lit(shard), F.col("slots") - F.col("shard") * shard)
     u = _unit(F.col("shard"), F.lit(SEED))
@@ -100,7 +102,7 @@ def draw(per: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOS
 
 def slots(drawn: DataFrame) -> DataFrame:
     """source, shard, slot, block: one row a slot of the mix."""
-    rows = drawn.select("source", "blocks", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
+    rows = drawn.repartition("source", "shard").select("source", "blocks", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
     lap = F.floor(F.col("slot") / F.col("blocks"))
     return rows.select("source", "shard", "slot", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("source"), lap).alias("block"))
 
@@ -123,7 +125,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
     sized = stored(sizes(docs), "mix-sizes")
     per = targets(sized, weights, most)
     took = slots(draw(per, block, shard, most)).groupBy("source", "block").agg(F.count("*").alias("times"))
-    took = took.select(F.col("source").alias("s"), F.col("block").alias("b"), "times")
+    # Its size is guessed from the few sources that it grows out of, so a broadcast is ruled out.
+    took = took.select(F.col("source").alias("s"), F.col("block").alias("b"), "times").hint("merge")
     laid = laid_out(sized)
     parts = blocks(laid, block)
     hits = parts.join(took, (parts["block"] == took["b"]) & parts["source"].eqNullSafe(took["s"]))
