@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,16 @@ from fieldmark.llm.common import stored, table, whole_text
 
 SIZE, END_ID, SLACK, GROUP, FAN_IN = 4096, 1, 64, 20_000, 8
 CACHE = 400_000
-#: Python's str.split() and the tokenizer agree on these as white space; other white space stays in a word and the tokenizer deals with it.
+# Fixed values, of the vocabulary file: how it cuts lower-cased text into pieces that it tokenises each by itself,
+# for texts of Latin-1 characters only (\p{L}, \p{N} and \s written out for those).
+LETTER, NUMBER, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\x0b\x0c\x85\xa0"
+PIECE = re.compile(f"[{LETTER}]+|'(?:[stmd]|re|ve|ll)|[{NUMBER}]|[^{BLANKS}{LETTER}{NUMBER}]+")
+#: Other texts are cut at these only; the tokenizer does the rest.
 BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the others from 256 on in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ODD = [b for b in range(256) if b not in _PRINTED]
+BYTES = {b: 256 + _ODD.index(b) for b in _ODD}
 
 
 def default_tokenizer() -> str:
@@ -38,27 +47,40 @@ def default_tokenizer() -> str:
 
 
 class Words:
-    """Token ids of texts. The vocabulary drops white space and never joins across it, so words are
-    tokenised once and remembered (up to CACHE of them)."""
+    """Token ids of texts. The vocabulary never joins across pieces, so each piece is tokenised once
+    and its ids' bytes are remembered (for up to CACHE pieces). Texts that name a special token go to
+    the tokenizer whole."""
 
     def __init__(self, path: str):
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.seen: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> np.ndarray:
-        seen, words = self.seen, [w for w in BLANK.split(text) if w]
-        new = list(set(words).difference(seen))
-        if new:
+        if "<|" in text:
+            return np.frombuffer(self._encode([text])[0], np.uint32)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            parts, seen = [w for w in BLANK.split(text) if w], self.chunks
+            new = list(set(parts).difference(seen))
+            if new:
+                if len(seen) > CACHE:
+                    seen.clear()
+                    new = list(set(parts))
+                seen.update(zip(new, self._encode(new)))
+        else:
+            parts, seen = PIECE.findall(text.lower()), self.seen
             if len(seen) > CACHE:
                 seen.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.encode(new, add_special_tokens=False)):
-                seen[w] = e.ids
-        out: list[int] = []
-        add = out.extend
-        for w in words:
-            add(seen[w])
-        return np.array(out, np.uint32)
+            for w in set(parts).difference(seen):
+                as_bytes = w if w.isalpha() and w.isascii() else w.encode().decode("latin-1").translate(BYTES)
+                seen[w] = array("I", [t.id for t in self.tokenize(as_bytes)]).tobytes()
+        return np.frombuffer(b"".join(map(seen.__getitem__, parts)), np.uint32)
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool = False) -> DataFrame:
