@@ -31,6 +31,7 @@ from fieldmark.operators.graph import components
 
 WORDS, NUM, DEN = 5, 4, 5  # 0.8 as a fraction
 SKETCH_BITS, SLICES, CROWDED = 20, 64, 4
+FILTER_BITS = 24
 BITMAP = 1024
 STARS = 2
 MULT, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -84,8 +85,9 @@ def crowded(docs: DataFrame) -> np.ndarray:
     def count(batches):
         sets, total = Shingler(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for text in batch.column("text"):
-                np.add.at(total, (sets(text.as_py()) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            found = [sets(text.as_py()) for text in batch.column("text")]
+            if found:
+                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, size)], pa.binary()), pa.array(total.reshape(SLICES, size).sum(axis=1, dtype=np.int64))], names=["slice", "counts", "n"])
 
@@ -105,24 +107,25 @@ def crowded(docs: DataFrame) -> np.ndarray:
 
 
 def led(docs: DataFrame, marks: np.ndarray) -> DataFrame:
-    """doc_id, n, k (128-bit hash of the set), lead: array of the leading shingles."""
+    """doc_id, n, k (128-bit hash of the set), bits (its bitmap), lead: array of the leading shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def work(batches):
         sets, crowd = Shingler(), np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            n, k, leads = [], [], []
+            n, k, bits, leads = [], [], [], []
             for text in batch.column("text"):
                 s = sets(text.as_py())
                 last = crowd[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 n.append(len(s))
                 k.append(xxh3_128_digest(s.tobytes()))
+                bits.append(bitmap(s).tobytes())
                 leads.append(np.concatenate([s[~last], s[last]])[: lead(len(s))].view(np.int64) if len(s) else s.view(np.int64))
             flat = np.concatenate(leads) if leads else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in leads])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "k", "lead"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "k", "bits", "lead"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, k binary, lead array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, k binary, bits binary, lead array<long>")
 
 
 def tiles(reps: DataFrame) -> DataFrame:
@@ -158,8 +161,8 @@ def compared(left: np.ndarray, right: np.ndarray, na: int, nb: int) -> bool:
     return DEN * both >= NUM * (na + nb - both)
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike enough."""
+def linked(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike enough. facts: id, n, bits of all documents."""
 
     @F.arrow_udf("boolean")
     def may(n1: pa.Array, n2: pa.Array, b1: pa.Array, b2: pa.Array) -> pa.Array:
@@ -173,32 +176,42 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in s] for s in (s1, s2))
         return pa.array([compared(x, y, len(x), len(y)) for x, y in zip(a, b)], pa.bool_())
 
-    side = lambda i, what: sets.select(F.col("id").alias(f"id{i}"), *[F.col(c).alias(f"{c}{i}") for c in what])
-    rough = pairs.join(side(1, ("n", "bits")), F.col("a") == F.col("id1")).join(side(2, ("n", "bits")), F.col("b") == F.col("id2"))
-    near = rough.filter(may("n1", "n2", "bits1", "bits2")).select("a", "b").distinct()
-    full = near.join(side(1, ("members",)), F.col("a") == F.col("id1")).join(side(2, ("members",)), F.col("b") == F.col("id2"))
+    side = lambda t, i, *what: t.select(F.col("id").alias(f"id{i}"), *[F.col(c).alias(f"{c}{i}") for c in what])
+    rough = pairs.join(side(facts, 1, "n", "bits"), F.col("a") == F.col("id1")).join(side(facts, 2, "n", "bits"), F.col("b") == F.col("id2"))
+    near = stored(rough.filter(may("n1", "n2", "bits1", "bits2")).select("a", "b").distinct(), "near")
+    sets = sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    full = near.join(side(sets, 1, "members"), F.col("a") == F.col("id1")).join(side(sets, 2, "members"), F.col("b") == F.col("id2"))
     return full.filter(alike("members1", "members2")).select("a", "b").distinct()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n, bits, members: the sets of the documents that tiles hold, from their texts."""
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    """id, members: the sets of the documents with these ids, and of a few others, from their texts.
+
+    The ids go to the scan as a hashed bitmap of 2^FILTER_BITS bits (2 MB, whatever their number), so
+    no text is shuffled. Bits that two ids share only bring sets that nothing asks for.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    set_bits = ids.select((place / 32).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), (place % 32).cast("int")).alias("bit"))
+    found = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros((1 << FILTER_BITS) // 32, np.uint32)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def work(batches):
         sets = Shingler()
         for batch in batches:
-            found = [sets(t.as_py()) for t in batch.column("text")]
-            for at in range(0, len(found), 512):
-                part = found[at : at + 512]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array([bitmap(s).tobytes() for s in part], pa.binary()), pa.array([s.tobytes() for s in part], pa.binary())], names=["id", "n", "bits", "members"])
+            at = np.asarray(batch.column("place"))
+            batch = batch.filter(pa.array((shared.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1))
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([sets(t.as_py()).tobytes() for t in part.column("text")], pa.binary())], names=["id", "members"])
 
-    return wanted.mapInArrow(work, "id long, n long, bits binary, members binary")
+    return docs.select(F.col("doc_id").alias("id"), "text").withColumn("place", place).mapInArrow(work, "id long, members binary")
 
 
-def links(docs: DataFrame, reps: DataFrame, stars: int = STARS) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, facts: DataFrame, stars: int = STARS) -> DataFrame:
     """a, b: links that join the classes (reps: id, n, lead) into the same components as all links do."""
     tile = stored(tiles(reps), "tiles")
-    sets = stored(sets_of(docs, tile.select("id").distinct()), "tile-sets")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     found, labels, tried = None, None, None
     for r in range(stars + 1):
@@ -222,7 +235,7 @@ def links(docs: DataFrame, reps: DataFrame, stars: int = STARS) -> DataFrame:
             met = rows.join(other, (F.col("sh") == F.col("osh")) & near)
             pairs = met.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = stored(linked(pairs, sets), "links")
+        new = stored(linked(pairs, docs, facts), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = new if found is None else found.unionByName(new)
         labels = components(found, "a", "b")
@@ -241,7 +254,7 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
     full = stored(led(rows, crowded(rows.select("text"))), "led")
     some = full.filter("n > 0")
     reps = some.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("lead").alias("lead")).filter("id IS NOT NULL")
-    groups = components(links(rows.filter("doc_id IS NOT NULL"), reps.select("id", "n", "lead"), stars).unionByName(_repeats(some)), "a", "b")
+    groups = components(links(rows.filter("doc_id IS NOT NULL"), reps.select("id", "n", "lead"), some.select(F.col("doc_id").alias("id"), "n", "bits"), stars).unionByName(_repeats(some)), "a", "b")
     classes = some.groupBy("k").agg(F.min("doc_id").alias("rep"))
     named = classes.join(groups, classes["rep"] == groups["id"], "left").select(F.col("k").alias("ck"), F.coalesce("component", "rep").alias("component"))
     out = full.select("doc_id", "n", F.when(F.col("n") > 0, F.col("k")).alias("k")).join(named, F.col("k") == F.col("ck"), "left")
