@@ -191,7 +191,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     no text is shuffled. Bits that two ids share only bring sets that nothing asks for.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    set_bits = ids.select((place / 32).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), (place % 32).cast("int")).alias("bit"))
+    set_bits = ids.withColumn("place", place).selectExpr("cast(place div 32 AS int) AS word", "shiftleft(1L, cast(place % 32 AS int)) AS bit")
     found = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros((1 << FILTER_BITS) // 32, np.uint32)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
