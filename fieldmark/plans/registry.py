@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fieldmark.plans import checklist_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(checklist_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(checklist_queries.SQL)
