@@ -30,7 +30,7 @@ from fieldmark.llm.common import stored, table, whole_text
 from fieldmark.operators.graph import components
 
 WORDS, NUM, DEN = 5, 4, 5  # 0.8 as a fraction
-SKETCH_BITS, SLICES, CROWDED = 20, 64, 4
+SKETCH_BITS, SLICES, CROWDED = 20, 64, 6
 FILTER_BITS = 24
 BITMAP = 1024
 STARS = 2
@@ -75,7 +75,7 @@ def lead(n: int) -> int:
 
 
 def crowded(docs: DataFrame) -> np.ndarray:
-    """Which of 2^SKETCH_BITS hash buckets of shingles are crowded: far above the mean.
+    """Which of 2^SKETCH_BITS hash buckets of shingles are crowded: well above the mean.
 
     Tasks count their part of the documents, Spark adds the counts slice by slice; the driver gets
     one bit a bucket (128 KB). A wrong mark only changes the order in which shingles lead.
@@ -92,7 +92,9 @@ def crowded(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, size)], pa.binary()), pa.array(total.reshape(SLICES, size).sum(axis=1, dtype=np.int64))], names=["slice", "counts", "n"])
 
     parts = stored(docs.mapInArrow(count, "slice int, counts binary, n long"), "shingle-counts")
-    limit = CROWDED * (parts.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS) + 32
+    # Counts of evenly spread shingles stray from their mean by its root; CROWDED of those above it is crowded.
+    mean = (parts.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
+    limit = mean + CROWDED * mean**0.5 + 8
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size, np.int64)
