@@ -32,8 +32,7 @@ from fieldmark.operators.graph import components
 WORDS, NUM, DEN = 5, 4, 5  # 0.8 as a fraction
 SKETCH_BITS, SLICES, CROWDED = 20, 64, 6
 FILTER_BITS = 24
-BITMAP = 1024
-STARS = 2
+STARS = 1
 MULT, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CACHE = 400_000
 
@@ -45,6 +44,10 @@ class Shingler:
         self.n, self.seen = n, {}
 
     def __call__(self, text: str) -> np.ndarray:
+        return np.unique(self.hashes(text))
+
+    def hashes(self, text: str) -> np.ndarray:
+        """In the text's order, repeats included."""
         if len(self.seen) > CACHE:
             self.seen.clear()
         seen, words = self.seen, text.encode().lower().split()
@@ -59,14 +62,35 @@ class Shingler:
             for i in range(n):
                 out = out * MULT + h[i : i + len(out)]
                 out ^= out >> np.uint64(32)
-            out = (out ^ (out >> np.uint64(29))) * FINAL
-        return np.unique(out)
+            return (out ^ (out >> np.uint64(29))) * FINAL
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(s >> np.uint64(7)) % np.uint64(BITMAP)] = 1
-    return np.packbits(bits)
+    """A set's shingles hashed into the least power of two of bits that is at least twice their number, as 64-bit words."""
+    size = 1 << max(6, (2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[((s >> np.uint64(7)) % np.uint64(size)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def folded(bits: bytes, size: int) -> bytes:
+    """A bitmap halved, by OR of its halves, until it has `size` bytes: the bitmap of the same set at that size."""
+    x = np.frombuffer(bits, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def differing(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Bits in which pairs of bitmaps differ, at the smaller one's size."""
+    if not left:
+        return np.zeros(0, np.int64)
+    for i, (x, y) in enumerate(zip(left, right)):
+        if len(x) != len(y):
+            left[i], right[i] = folded(x, len(y)), folded(y, len(x))
+    words = np.bitwise_count(np.frombuffer(b"".join(left), np.uint64) ^ np.frombuffer(b"".join(right), np.uint64)).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(x) // 8 for x in left])[:-1]])
+    return np.add.reduceat(words, starts)
 
 
 def lead(n: int) -> int:
@@ -85,7 +109,7 @@ def crowded(docs: DataFrame) -> np.ndarray:
     def count(batches):
         sets, total = Shingler(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            found = [sets(text.as_py()) for text in batch.column("text")]
+            found = [sets.hashes(text.as_py()) for text in batch.column("text")]
             if found:
                 total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
         if total.any():
@@ -169,8 +193,7 @@ def linked(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
     @F.arrow_udf("boolean")
     def may(n1: pa.Array, n2: pa.Array, b1: pa.Array, b2: pa.Array) -> pa.Array:
         n = np.asarray(n1) + np.asarray(n2)
-        x, y = (np.frombuffer(b"".join(b.to_pylist()), np.uint64).reshape(len(n), -1) for b in (b1, b2))
-        most = (n - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)) // 2
+        most = (n - differing(b1.to_pylist(), b2.to_pylist())) // 2
         return pa.array((DEN + NUM) * most >= NUM * n)
 
     @F.arrow_udf("boolean")
@@ -240,7 +263,8 @@ def links(docs: DataFrame, reps: DataFrame, facts: DataFrame, stars: int = STARS
         new = stored(linked(pairs, docs, facts), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = new if found is None else found.unionByName(new)
-        labels = components(found, "a", "b")
+        if r < stars:
+            labels = components(found, "a", "b")
     return found
 
 
