@@ -4,9 +4,9 @@ Links are all pairs of texts whose sets of 5-word shingles have a Jaccard likene
 
 1. Texts with equal sets form a class (grouped by a 128-bit hash); only its least doc_id goes on.
 2. Two sets can only be alike enough if they share one of the first n - ceil(0.8 n) + 1 shingles, in
-   any order that all sets agree on. The order here: shingles in crowded buckets of a count sketch
-   (passages that many documents share) last, then by hash. Shingles that only one class leads with
-   link nothing and go.
+   any order that all sets agree on. The order here: by how full their bucket of a count sketch is,
+   so rare shingles lead and passages that many documents share come last, then by hash. Shingles
+   that only one class leads with link nothing and go.
 3. A tile holds the classes that lead with one shingle and whose sizes fall into one band (factor
    1.25). Rounds of stars come first: each tile ties its members to one of them that differs from
    round to round, and only members that aren't yet in the same component, so copies of a group
@@ -30,7 +30,7 @@ from fieldmark.llm.common import stored, table, whole_text
 from fieldmark.operators.graph import components
 
 WORDS, NUM, DEN = 5, 4, 5  # 0.8 as a fraction
-SKETCH_BITS, SLICES, CROWDED = 20, 64, 6
+SKETCH_BITS, SLICES = 20, 64
 FILTER_BITS = 24
 STARS = 1
 MULT, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -98,11 +98,17 @@ def lead(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def crowded(docs: DataFrame) -> np.ndarray:
-    """Which of 2^SKETCH_BITS hash buckets of shingles are crowded: well above the mean.
+def levels(total: np.ndarray, mean: float) -> np.ndarray:
+    """How full buckets are, as a byte: in sixteenths of the deviation around the mean, logarithmic from four deviations on."""
+    z = (total - mean) / max(mean, 1.0) ** 0.5
+    return np.clip(np.where(z < 4, 128 + 16 * z, 192 + 8 * np.log2(np.maximum(z, 4) / 4)), 0, 255).astype(np.uint8)
+
+
+def fullness(docs: DataFrame) -> np.ndarray:
+    """The level of each of 2^SKETCH_BITS hash buckets of shingles.
 
     Tasks count their part of the documents, Spark adds the counts slice by slice; the driver gets
-    one bit a bucket (128 KB). A wrong mark only changes the order in which shingles lead.
+    one byte a bucket (1 MB). A wrong level only changes the order in which shingles lead.
     """
     size = (1 << SKETCH_BITS) // SLICES
 
@@ -116,37 +122,35 @@ def crowded(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, size)], pa.binary()), pa.array(total.reshape(SLICES, size).sum(axis=1, dtype=np.int64))], names=["slice", "counts", "n"])
 
     parts = stored(docs.mapInArrow(count, "slice int, counts binary, n long"), "shingle-counts")
-    # Counts of evenly spread shingles stray from their mean by its root; CROWDED of those above it is crowded.
     mean = (parts.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
-    limit = mean + CROWDED * mean**0.5 + 8
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size, np.int64)
         for c in pdf.counts:
             total += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"slice": [pdf.slice.iloc[0]], "bits": [np.packbits(total > limit).tobytes()]})
+        return pd.DataFrame({"slice": [pdf.slice.iloc[0]], "levels": [levels(total, mean).tobytes()]})
 
-    out = np.zeros((SLICES, size), bool)
-    for r in parts.groupBy("slice").applyInPandas(mark, "slice int, bits binary").collect():
-        out[r["slice"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    return np.packbits(out.ravel())
+    out = np.zeros((SLICES, size), np.uint8)
+    for r in parts.groupBy("slice").applyInPandas(mark, "slice int, levels binary").collect():
+        out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.ravel()
 
 
-def led(docs: DataFrame, marks: np.ndarray) -> DataFrame:
+def led(docs: DataFrame, full: np.ndarray) -> DataFrame:
     """doc_id, n, k (128-bit hash of the set), bits (its bitmap), lead: array of the leading shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    shared = docs.sparkSession.sparkContext.broadcast(full)
 
     def work(batches):
-        sets, crowd = Shingler(), np.unpackbits(shared.value).astype(bool)
+        sets, level = Shingler(), shared.value
         for batch in batches:
             n, k, bits, leads = [], [], [], []
             for text in batch.column("text"):
                 s = sets(text.as_py())
-                last = crowd[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 n.append(len(s))
                 k.append(xxh3_128_digest(s.tobytes()))
                 bits.append(bitmap(s).tobytes())
-                leads.append(np.concatenate([s[~last], s[last]])[: lead(len(s))].view(np.int64) if len(s) else s.view(np.int64))
+                leads.append(s[order[: lead(len(s))]].view(np.int64) if len(s) else s.view(np.int64))
             flat = np.concatenate(leads) if leads else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in leads])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "k", "bits", "lead"])
@@ -277,7 +281,7 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
     an empty result. Only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    full = stored(led(rows, crowded(rows.select("text"))), "led")
+    full = stored(led(rows, fullness(rows.select("text"))), "led")
     some = full.filter("n > 0")
     reps = some.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("lead").alias("lead")).filter("id IS NOT NULL")
     groups = components(links(rows.filter("doc_id IS NOT NULL"), reps.select("id", "n", "lead"), some.select(F.col("doc_id").alias("id"), "n", "bits"), stars).unionByName(_repeats(some)), "a", "b")
