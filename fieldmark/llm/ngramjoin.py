@@ -12,6 +12,8 @@ Links are all pairs of texts whose sets of 5-word shingles have a Jaccard likene
    round to round, and only members that aren't yet in the same component, so copies of a group
    never meet pair by pair. A last, complete round pairs what still stands in different components
    in the tiles of a shingle, over all bands that are near enough in size.
+   Positions count as well: before the first shingle that two sets share in that order, they share
+   none, so they share at most the lesser of what follows; pairs for whom that is too little don't meet.
 4. Candidates are checked by bitmap first: shared shingles <= (n_a + n_b - bits that differ) / 2.
    Those that pass are settled by intersecting the sorted arrays.
 No step caps, samples or drops candidates.
@@ -159,13 +161,14 @@ def led(docs: DataFrame, full: np.ndarray) -> DataFrame:
 
 
 def tiles(reps: DataFrame) -> DataFrame:
-    """sh, id, n: the leading shingles that at least two classes lead with. Sorted runs are streamed, no group is held."""
-    rows = reps.select("id", "n", F.explode("lead").alias("sh")).repartition("sh").sortWithinPartitions("sh", "n")
+    """sh, id, n, rest: the leading shingles that at least two classes lead with, and how many of the set's shingles
+    are left from there. Sorted runs are streamed, no group is held."""
+    rows = reps.select("id", "n", F.posexplode("lead").alias("pos", "sh")).withColumn("rest", F.col("n") - F.col("pos")).repartition("sh").sortWithinPartitions("sh", "n")
 
     def runs(batches):
         last, sent = None, False  # the row before this batch, and whether it has been emitted
         for batch in batches:
-            t = pa.Table.from_batches([batch]).select(["sh", "id", "n"])
+            t = pa.Table.from_batches([batch]).select(["sh", "id", "n", "rest"])
             if last is not None:
                 t = pa.concat_tables([last, t])
             sh = t.column("sh").to_numpy()
@@ -182,7 +185,7 @@ def tiles(reps: DataFrame) -> DataFrame:
             last, sent = t.slice(len(sh) - 1), end
             yield from t.filter(pa.array(keep)).to_batches()
 
-    return rows.mapInArrow(runs, "sh long, id long, n long")
+    return rows.mapInArrow(runs, "sh long, id long, n long, rest long")
 
 
 def compared(left: np.ndarray, right: np.ndarray, na: int, nb: int) -> bool:
@@ -243,24 +246,25 @@ def links(docs: DataFrame, reps: DataFrame, facts: DataFrame, stars: int = STARS
     tile = stored(tiles(reps), "tiles")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     found, labels, tried = None, None, None
+    enough = lambda n, m, r, s: (DEN + NUM) * F.least(r, s) >= NUM * (F.col(n) + F.col(m))
     for r in range(stars + 1):
         rows = tile
         if labels is not None:
             label = labels.select(F.col("id").alias("lid"), "component")
-            rows = tile.join(label, F.col("id") == F.col("lid"), "left").select("sh", "id", "n", F.coalesce("component", "id").alias("label"))
+            rows = tile.join(label, F.col("id") == F.col("lid"), "left").select("sh", "id", "n", "rest", F.coalesce("component", "id").alias("label"))
             mixed = rows.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("sh").alias("msh"))
             rows = rows.join(mixed, F.col("sh") == F.col("msh"), "left_semi")
         else:
             rows = rows.withColumn("label", F.col("id"))
         if r < stars:
             rows = rows.withColumn("band", band)
-            pivot = rows.groupBy("sh", "band").agg(F.min_by(F.struct("id", "label"), F.struct(F.xxhash64("label", F.lit(r)) if r else F.col("id"), F.col("id"))).alias("p"))
-            pivot = pivot.select(F.col("sh").alias("psh"), F.col("band").alias("pband"), F.col("p.id").alias("pid"), F.col("p.label").alias("plabel"))
-            met = rows.join(pivot, (F.col("sh") == F.col("psh")) & (F.col("band") == F.col("pband")) & (F.col("label") != F.col("plabel")))
+            pivot = rows.groupBy("sh", "band").agg(F.min_by(F.struct("id", "label", "n", "rest"), F.struct(F.xxhash64("label", F.lit(r)) if r else F.col("id"), F.col("id"))).alias("p"))
+            pivot = pivot.select(F.col("sh").alias("psh"), F.col("band").alias("pband"), F.col("p.id").alias("pid"), F.col("p.label").alias("plabel"), F.col("p.n").alias("pn"), F.col("p.rest").alias("prest"))
+            met = rows.join(pivot, (F.col("sh") == F.col("psh")) & (F.col("band") == F.col("pband")) & (F.col("label") != F.col("plabel")) & enough("n", "pn", "rest", "prest"))
             pairs = met.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
         else:
-            other = rows.select(F.col("sh").alias("osh"), F.col("id").alias("oid"), F.col("n").alias("on"), F.col("label").alias("olabel"))
-            near = (F.col("n") <= F.col("on")) & (DEN * F.col("n") >= NUM * F.col("on")) & (F.col("label") != F.col("olabel"))
+            other = rows.select(F.col("sh").alias("osh"), F.col("id").alias("oid"), F.col("n").alias("on"), F.col("rest").alias("orest"), F.col("label").alias("olabel"))
+            near = (F.col("n") <= F.col("on")) & (DEN * F.col("n") >= NUM * F.col("on")) & (F.col("label") != F.col("olabel")) & enough("n", "on", "rest", "orest")
             met = rows.join(other, (F.col("sh") == F.col("osh")) & near)
             pairs = met.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
