@@ -19,7 +19,7 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column, rank: str = "r
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def unseen(catalogue: DataFrame, seen: DataFrame, key: str, name: str) -> DataFrame:
+def unseen(catalogue: DataFrame, seen: DataFrame, key: str | list[str], name: str | list[str]) -> DataFrame:
     """Catalogue rows whose key and name are both unseen: two anti joins, as an OR would be a nested loop."""
     return catalogue.join(seen.select(key).distinct(), key, "left_anti").join(seen.select(name).distinct(), name, "left_anti")
 

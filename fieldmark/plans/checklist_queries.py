@@ -105,12 +105,16 @@ def rare_hits(spark, d):
     return seen.join(base, "taxon").select("day", "taxon", "baseline")
 
 
-@query("""WITH mine AS (SELECT taxon, name FROM cl JOIN ob USING (report_id) JOIN tx USING (taxon) WHERE observer % 100 = 1)
-SELECT taxon, name FROM tx WHERE taxon NOT IN (SELECT taxon FROM mine) AND name NOT IN (SELECT name FROM mine)""")
+@query("""WITH mine AS (SELECT DISTINCT city, taxon, name FROM cl JOIN ob USING (report_id) JOIN pp USING (observer) JOIN tx USING (taxon))
+SELECT c.city, t.taxon, t.name FROM tx t, (SELECT DISTINCT city FROM pp) c
+WHERE NOT EXISTS (SELECT 1 FROM mine m WHERE m.city = c.city AND m.taxon = t.taxon) AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.city = c.city AND m.name = t.name)""")
 def missing_taxa(spark, d):
-    """Catalogue taxa that a team of observers hasn't seen, neither by key nor by name."""
-    mine = checklists(spark, d).filter("observer % 100 = 1").join(observations(spark, d), "report_id").join(taxa(spark, d), "taxon")
-    return unseen(taxa(spark, d).select("taxon", "name"), mine, "taxon", "name").select("taxon", "name")
+    """Catalogue taxa that no observer of a city has seen, neither by key nor by name. Cities are a dimension (nations)."""
+    mine = checklists(spark, d).join(observations(spark, d), "report_id").join(observers(spark, d).select("observer", "city"), "observer").select("city", "taxon").distinct()
+    mine = mine.join(taxa(spark, d).select("taxon", "name"), "taxon")
+    cities = observers(spark, d).agg(F.collect_set("city").alias("cities"))
+    catalogue = taxa(spark, d).select("taxon", "name").crossJoin(F.broadcast(cities)).select(F.explode("cities").alias("city"), "taxon", "name")
+    return unseen(catalogue, mine, ["city", "taxon"], ["city", "name"]).select("city", "taxon", "name")
 
 
 @query("""WITH h AS (SELECT DISTINCT day, taxon FROM cl JOIN ob USING (report_id) WHERE n >= 45)
@@ -235,12 +239,12 @@ def weighted_q90(spark, d):
     return weighted_quantile(rows, ["family"], "n", "w", 0.9)
 
 
-@query("""WITH b AS (SELECT city, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM pp WHERE observer % 7 = 0 GROUP BY city), j AS (SELECT observer, b.city AS box, row_number() OVER (PARTITION BY observer ORDER BY (e - w) * (n - s), b.city) AS k FROM pp JOIN b ON lon BETWEEN w AND e AND lat BETWEEN s AND n)
+@query("""WITH b AS (SELECT city, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM pp GROUP BY city), j AS (SELECT observer, b.city AS box, row_number() OVER (PARTITION BY observer ORDER BY (e - w) * (n - s), b.city) AS k FROM pp JOIN b ON lon BETWEEN w AND e AND lat BETWEEN s AND n)
 SELECT observer, box FROM j WHERE k = 1""")
 def smallest_box(spark, d):
     """Each point's smallest covering box. There is a box for each city: a dimension, kept by a size check of Spark's own."""
     p = observers(spark, d)
-    b = p.filter("observer % 7 = 0").groupBy(F.col("city").alias("box")).agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
+    b = p.groupBy(F.col("city").alias("box")).agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
     j = p.join(b, F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
     return first_by(j, ["observer"], (F.col("e") - F.col("w")) * (F.col("n") - F.col("s")), F.col("box")).select("observer", "box")
 
@@ -259,12 +263,12 @@ def occurrence_events(spark, d):
     return out.groupBy("taxon", "event").agg(day(F.min("day")).alias("first_day"), day(F.max("day")).alias("last_day"), F.count("*").alias("days")).drop("event")
 
 
-@query("""WITH ld AS (SELECT report_id, province, city, point, max(CASE WHEN taxon % 10 = 3 THEN 1 ELSE 0 END) AS y FROM cl JOIN ob USING (report_id) JOIN pp USING (observer) GROUP BY ALL),
+@query("""WITH ld AS (SELECT report_id, province, city, point, max(CASE WHEN red THEN 1 ELSE 0 END) AS y FROM cl JOIN ob USING (report_id) JOIN pp USING (observer) GROUP BY ALL),
 a AS (SELECT province, count(*) AS e, sum(y) AS d FROM ld GROUP BY 1), b AS (SELECT province, city, count(*) AS e, sum(y) AS d FROM ld GROUP BY 1, 2), c AS (SELECT province, city, point, count(*) AS e, sum(y) AS d FROM ld GROUP BY 1, 2, 3)
 SELECT c.city, c.point, round((((a.d + 1) / (a.e + 2) * 20 + b.d) / (20 + b.e) * 20 + c.d) / (20 + c.e), 6) AS p FROM c JOIN b USING (province, city) JOIN a USING (province)""")
 def hierarchical_frequency(spark, d):
-    """How often a group of taxa is on a checklist of a place: province, city and point, each a prior of the next."""
-    y = F.max(F.when(F.col("taxon") % 10 == 3, 1).otherwise(0)).alias("y")
+    """How often a sensitive record is on a checklist of a place: province, city and point, each a prior of the next."""
+    y = F.max(F.when(F.col("red"), 1).otherwise(0)).alias("y")
     rows = checklists(spark, d).join(observations(spark, d), "report_id").join(observers(spark, d), "observer").groupBy("report_id", "province", "city", "point").agg(y)
     c = rows.groupBy("province", "city", "point").agg(F.count("*").alias("e3"), F.sum("y").alias("d3"))
     b = c.groupBy("province", "city").agg(F.sum("e3").alias("e2"), F.sum("d3").alias("d2"))
