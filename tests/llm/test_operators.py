@@ -67,6 +67,43 @@ def test_near_duplicates(docs, none):
     assert ngramjoin.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: f"v{rng.randrange(4000)}"
+    passages = [[word() for _ in range(70)] for _ in range(3)]
+    texts = []
+    for g in range(12):
+        base = [word() for _ in range(rng.choice((3, 20, 60, 200)))]
+        for _ in range(14):  # from exact copies to texts that share less than the threshold
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 2, 4, 8))):
+                w[rng.randrange(len(w))] = word()
+            texts.append(w + (passages[g % 3] if rng.random() < 0.4 else []) + [word() for _ in range(rng.choice((0, 0, 5, 15)))])
+    texts += [[word() for _ in range(80)] + passages[k % 3] for k in range(40)]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                linked += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert linked > 100
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    want = {(i, len(s), find(i)) for i, s in enumerate(sets)}
+    for stars in (0, 1):  # the complete round alone, and after a round of stars
+        assert {tuple(r) for r in ngramjoin.near_duplicates(rows, stars=stars).collect()} == want
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs, block=4, shard=16).collect()
     assert len(got) == len(ROWS) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
