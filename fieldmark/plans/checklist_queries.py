@@ -105,12 +105,12 @@ def rare_hits(spark, d):
     return seen.join(base, "taxon").select("day", "taxon", "baseline")
 
 
-@query("""WITH mine AS (SELECT DISTINCT city, taxon, name FROM cl JOIN ob USING (report_id) JOIN pp USING (observer) JOIN tx USING (taxon))
+@query("""WITH mine AS (SELECT DISTINCT city, taxon, name FROM cl JOIN ob USING (report_id) JOIN pp USING (observer) JOIN tx USING (taxon) WHERE day >= DATE '2001-07-26')
 SELECT c.city, t.taxon, t.name FROM tx t, (SELECT DISTINCT city FROM pp) c
 WHERE NOT EXISTS (SELECT 1 FROM mine m WHERE m.city = c.city AND m.taxon = t.taxon) AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.city = c.city AND m.name = t.name)""")
 def missing_taxa(spark, d):
-    """Catalogue taxa that no observer of a city has seen, neither by key nor by name. Cities are a dimension (nations)."""
-    mine = checklists(spark, d).join(observations(spark, d), "report_id").join(observers(spark, d).select("observer", "city"), "observer").select("city", "taxon").distinct()
+    """Catalogue taxa that no observer of a city has seen in the last week, neither by key nor by name. Cities are a dimension (nations)."""
+    mine = checklists(spark, d).filter(F.col("day") >= "2001-07-26").join(observations(spark, d), "report_id").join(observers(spark, d).select("observer", "city"), "observer").select("city", "taxon").distinct()
     mine = mine.join(taxa(spark, d).select("taxon", "name"), "taxon")
     cities = observers(spark, d).agg(F.collect_set("city").alias("cities"))
     catalogue = taxa(spark, d).select("taxon", "name").crossJoin(F.broadcast(cities)).select(F.explode("cities").alias("city"), "taxon", "name")

@@ -121,16 +121,16 @@ def place_detail(spark, d):
 
 @query(f"""WITH p AS (SELECT city, round(lon, 2) AS lon, round(lat, 2) AS lat, count(*) AS observers FROM pp GROUP BY ALL)
 SELECT a.city, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2, round({DIAGONAL_SQL.format(n="b.lat", s="a.lat", e="b.lon", w="a.lon")}, 2) AS metres
-FROM p a JOIN p b ON a.city = b.city AND (a.lon < b.lon OR (a.lon = b.lon AND a.lat < b.lat)) AND {DIAGONAL_SQL.format(n="b.lat", s="a.lat", e="b.lon", w="a.lon")} <= 2500""")
+FROM p a JOIN p b ON a.city = b.city AND (a.lon < b.lon OR (a.lon = b.lon AND a.lat < b.lat)) AND {DIAGONAL_SQL.format(n="b.lat", s="a.lat", e="b.lon", w="a.lon")} <= 12000""")
 def near_places(spark, d):
-    """Pairs of a city's places within 2.5 km. Coordinates are rounded and counted once; cells wider than that meet their ring by an equi join."""
+    """Pairs of a city's places within 12 km. Coordinates are rounded and counted once; cells wider than that meet their ring by an equi join."""
     p = observers(spark, d).groupBy("city", F.round("lon", 2).alias("lon"), F.round("lat", 2).alias("lat")).agg(F.count("*").alias("observers"))
-    p = p.withColumns({"x": F.floor(F.col("lon") / 0.04), "y": F.floor(F.col("lat") / 0.04)}).drop("observers")
+    p = p.withColumns({"x": F.floor(F.col("lon") / 0.15), "y": F.floor(F.col("lat") / 0.15)}).drop("observers")
     a = ring(p).select("city", "x", "y", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
     b = p.withColumnsRenamed({"lon": "lon2", "lat": "lat2"})
     ahead = (F.col("lon1") < F.col("lon2")) | ((F.col("lon1") == F.col("lon2")) & (F.col("lat1") < F.col("lat2")))
     pairs = a.join(b, ["city", "x", "y"]).filter(ahead).withColumn("m", haversine_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")))
-    return pairs.filter("m <= 2500").select("city", "lon1", "lat1", "lon2", "lat2", F.round("m", 2).alias("metres"))
+    return pairs.filter("m <= 12000").select("city", "lon1", "lat1", "lon2", "lat2", F.round("m", 2).alias("metres"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2", bound=False)
