@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to and read from the shared folder: cuts lineage each round and survives lost executors."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from fieldmark.sources.shared import kept
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,11 +26,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """id, component: the least id that links reach, for every id that has a link. Ids are of an ordered
     type; self links and nulls are left out, repeated links count once; no links give no rows."""
-    edges = _kept(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    edges = kept(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "components")
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     before = mark(edges)
     while before["n"]:
-        edges = _kept(_star(_star(edges, True), False))
+        edges = kept(_star(_star(edges, True), False), "components")
         now = mark(edges)
         if now == before:
             break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmark.plans import checklist_queries, place_queries  # noqa: F401  (both fill the same tables)
+from fieldmark.plans import checklist_queries, model_queries, place_queries  # noqa: F401  (all fill the same tables)
 
 
 def queries() -> dict:
