@@ -36,7 +36,8 @@ SKETCH_BITS, SLICES = 20, 64
 FILTER_BITS = 24
 STARS = 1
 MULT, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-CACHE = 400_000
+CACHE = 100_000  # words whose hashes a task remembers
+PART = 512  # rows of a batch that a task works on at once
 
 
 class Shingler:
@@ -117,9 +118,9 @@ def fullness(docs: DataFrame) -> np.ndarray:
     def count(batches):
         sets, total = Shingler(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            found = [sets.hashes(text.as_py()) for text in batch.column("text")]
-            if found:
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            for first in range(0, batch.num_rows, PART):
+                found = np.concatenate([sets.hashes(text.as_py()) for text in batch.column("text").slice(first, PART)])
+                total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, size)], pa.binary()), pa.array(total.reshape(SLICES, size).sum(axis=1, dtype=np.int64))], names=["slice", "counts", "n"])
 
@@ -145,17 +146,18 @@ def led(docs: DataFrame, full: np.ndarray) -> DataFrame:
     def work(batches):
         sets, level = Shingler(), shared.value
         for batch in batches:
-            n, k, bits, leads = [], [], [], []
-            for text in batch.column("text"):
-                s = sets(text.as_py())
-                order = np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                n.append(len(s))
-                k.append(xxh3_128_digest(s.tobytes()))
-                bits.append(bitmap(s).tobytes())
-                leads.append(s[order[: lead(len(s))]].view(np.int64) if len(s) else s.view(np.int64))
-            flat = np.concatenate(leads) if leads else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in leads])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "k", "bits", "lead"])
+            for first in range(0, batch.num_rows, PART):
+                part, n, k, bits, leads = batch.slice(first, PART), [], [], [], []
+                for text in part.column("text"):
+                    s = sets(text.as_py())
+                    order = np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                    n.append(len(s))
+                    k.append(xxh3_128_digest(s.tobytes()))
+                    bits.append(bitmap(s).tobytes())
+                    leads.append(s[order[: lead(len(s))]].view(np.int64) if len(s) else s.view(np.int64))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in leads])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(leads)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(bits, pa.binary()), lists], names=["doc_id", "n", "k", "bits", "lead"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, k binary, bits binary, lead array<long>")
 
@@ -234,8 +236,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             at = np.asarray(batch.column("place"))
             batch = batch.filter(pa.array((shared.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1))
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for first in range(0, batch.num_rows, PART):
+                part = batch.slice(first, PART)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([sets(t.as_py()).tobytes() for t in part.column("text")], pa.binary())], names=["id", "members"])
 
     return docs.select(F.col("doc_id").alias("id"), "text").withColumn("place", place).mapInArrow(work, "id long, members binary")
