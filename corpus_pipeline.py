@@ -38,6 +38,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Documents without words have no share of the mix to settle and stay once.
     """
+    docs = docs.select(*COLUMNS)  # other columns may have the names used below
     taken = mix(docs)
     share = F.col("taken") / F.col("size")
     chance = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 30)) / float(1 << 30)
