@@ -11,7 +11,8 @@ words would fill the dictionary otherwise, as most of a toxic text is ordinary.
 
 Fitted on a bounded sample of labelled rows: at most `sample` documents of each label for the
 dictionaries and as many for the curve, those with the lowest hash of doc_id; at most WORDS words and
-WINDOWS windows reach the driver. Scoring is one pass over all documents, no shuffle.
+WINDOWS windows reach the driver. The curve's rows weigh as many labels as they stand for, so that it
+keeps the labels' own shares at any size. Scoring is one pass over all documents, no shuffle.
 """
 
 from __future__ import annotations
@@ -74,13 +75,17 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * most + c * mean))))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text, label, part (train or curve) of the labelled documents that the model may learn from.
+def marked(labels: DataFrame) -> DataFrame:
+    """doc_id, label, part (train or curve) of the labels that the model may learn from."""
+    marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    return marks.withColumn("part", F.when(fold(F.col("doc_id")) == 1, "curve").when(fold(F.col("doc_id")) != 2, "train")).filter("part IS NOT NULL")
+
+
+def sampled(docs: DataFrame, marks: DataFrame, sample: int) -> DataFrame:
+    """text, label, part of the documents in the sample.
 
     The sample's ids are at most 4 * sample; Spark joins them with the documents.
     """
-    marks = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    marks = marks.withColumn("part", F.when(fold(F.col("doc_id")) == 1, "curve").when(fold(F.col("doc_id")) != 2, "train")).filter("part IS NOT NULL")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = None
     for label in (0, 1):
@@ -114,13 +119,21 @@ def dictionary(size: int, samples: list[bytes]) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Ridge Newton fit of label on the two distances."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Ridge Newton fit of label on the two distances; row i counts n[i] times."""
     a = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, 3))
     w = np.array([-3.0, 0.5, 0.5])
+
+    def loss(w: np.ndarray) -> float:
+        line = a @ w
+        return float((n * (np.logaddexp(0, line) - y * line)).sum() + 0.05 * w @ w)
+
     for _ in range(50 if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + 0.1 * np.eye(3), a.T @ (y - p) - 0.1 * w)
+        step = np.linalg.solve(a.T @ (a * (n * p * (1 - p))[:, None]) + 0.1 * np.eye(3), a.T @ (n * (y - p)) - 0.1 * w)
+        # A whole step may lead far away where the start is bad.
+        while loss(w + step) > loss(w) and np.abs(step).max() >= 1e-9:
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
@@ -140,7 +153,8 @@ def distances(docs: DataFrame, toxic: bytes, ordinary: bytes, *keep: str) -> Dat
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = sampled(docs, labels, sample)
+    marks = marked(labels)
+    rows = sampled(docs, marks, sample)
     train = rows.filter("part = 'train'")
     order = random.Random(3)
     known = [f" {w} ".encode() for w, n in telling_words(train) for _ in range(3 * min(n, 20))]
@@ -149,8 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     plain = [r["w"].encode() for r in cuts.orderBy(F.xxhash64("w"), "w").limit(WINDOWS).collect()]
     toxic, ordinary = dictionary(TOXIC_BYTES, known), dictionary(ORDINARY_BYTES, plain)
     seen = distances(rows.filter("part = 'curve'"), toxic, ordinary, "label").collect()
-    # The sample holds more toxic rows than the labels do only where a label has more than `sample` rows.
-    return Model(toxic, ordinary, logistic(np.array([[r["most"], r["mean"]] for r in seen]), np.array([r["label"] for r in seen], float)))
+    # Of a label with more than `sample` curve rows each sampled row stands for several.
+    count = {r["label"]: r["count"] for r in marks.filter("part = 'curve'").groupBy("label").count().collect()}
+    stands = [max(1.0, count[r["label"]] / max(sample, 1)) for r in seen]
+    return Model(toxic, ordinary, logistic(np.array([[r["most"], r["mean"]] for r in seen]), np.array([r["label"] for r in seen], float), np.array(stands)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -164,6 +164,28 @@ def test_toxicity_without_labels(docs, none, spark):
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_toxicity_sample_keeps_the_share_predicted_toxic(spark):
+    import random
+
+    rng = random.Random(4)
+    stems = ["qworvexilu", "zumbrakoty", "xifgandole", "jukvermipo", "wyxtorbaqe"]
+    rows, marks = [], []
+    for i in range(3000):
+        toxic = rng.random() < 0.1
+        text = [f"v{rng.randrange(900)}" for _ in range(40)]
+        at, several, one = rng.randrange(36), rng.random() < 0.5, rng.random() < 0.3
+        if toxic and several:
+            text[at:at] = rng.choices(stems, k=4)
+        elif toxic or one and zlib.crc32(str(i).encode()) % 4 in (1, 2):  # more often in ordinary texts, but not where dictionaries are trained
+            text[at:at] = [rng.choice(stems)]
+        rows.append((i, " ".join(text)))
+        marks.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    whole, small = (toxicity.toxicity(docs, labels, sample=n).agg(F.avg("predicted")).first()[0] for n in (3000, 60))
+    assert 0.02 < whole < 0.15 and abs(whole - small) < 0.1
+
+
 def test_urls(spark):
     rows = [(1, "https://www.Example.com/en/7x?q", "<p>blue bird blue bird</p>"), (2, "http://a.net/de/8", None), (3, None, None), (4, "nothing", ""), (5, "x://sub.example.net/de/81#t", "")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
