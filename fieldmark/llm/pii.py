@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import LOWER, UPPER, table, whole_text
-from fieldmark.llm.spans import matches, said, spans
+from fieldmark.llm.spans import ONE, matches, said, spans
 
 # The base patterns, written so that each has the plain pattern's leftmost matches
 # but gives up a run of its characters after one try (no quadratic search in long runs).
@@ -18,7 +18,14 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Added by the method.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Length of an IBAN without blanks -> country codes (the ISO 13616 registry, and countries that use IBANs without an entry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CM CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BF BI CF CG DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# A match is an IBAN's start, so that a candidate which fails its check hides no other; group 1 is the whole candidate.
+IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?=(" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9]))[A-Z]{2}[0-9]{2}"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: Context words that raise a span's score when they stand within NEAR code points before it.
 CONTEXT = {
@@ -57,6 +64,15 @@ def _mod97(x: Column) -> Column:
     return F.length(bare).between(15, 34) & (rest == 1)
 
 
+def _ibans(text: Column, found: Column) -> Column:
+    """The IBANs among the candidates whose starts are found: those that pass mod-97, none within another."""
+    whole = F.when(F.size(found) > 0, F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    each = F.zip_with(spans(text, IBAN, found), whole, lambda s, v: F.struct(s["start"].alias("start"), (s["start"] + F.length(v)).cast("bigint").alias("end"), v.alias("value")))
+    valid = F.filter(each, lambda s: _mod97(s["value"]))
+    apart = lambda acc, s: F.when(s["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)), F.concat(acc, F.array(s)).cast(ONE)).otherwise(acc)
+    return F.aggregate(valid, F.array().cast(ONE), apart)
+
+
 def maybe(text: Column) -> dict[str, tuple[str, Column]]:
     """kind -> its pattern and a cheap necessary condition, in the contract's order of kinds, then the method's own."""
     digit = text.rlike("[0-9]")
@@ -74,7 +90,7 @@ def confirmed(kind: str, found: Column) -> Column:
     """Without the spans that fail their kind's check."""
     small = lambda s: F.forall(F.split(s["value"], r"\."), lambda p: F.coalesce(p.try_cast("bigint") <= 255, F.lit(False)))
     many = lambda s, lo, hi: F.length(_digits(s["value"])).between(lo, hi)
-    tests = {"ip": small, "card": lambda s: many(s, 16, 19) & _luhn(s["value"]), "phone": lambda s: many(s, 8, 15), "iban": lambda s: _mod97(s["value"])}
+    tests = {"ip": small, "card": lambda s: many(s, 16, 19) & _luhn(s["value"]), "phone": lambda s: many(s, 8, 15)}
     return F.filter(found, tests[kind]) if kind in tests else found
 
 
@@ -104,7 +120,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", whole_text().alias("text"))
     text, kinds = F.col("text"), maybe(F.col("text"))
     rows = rows.select("doc_id", "text", *[matches(text, *v).alias(k) for k, v in kinds.items()])
-    rows = rows.select("doc_id", "text", *[confirmed(k, spans(text, v[0], F.col(k))).alias(k) for k, v in kinds.items()])
+    rows = rows.select("doc_id", "text", *[(_ibans(text, F.col(k)) if k == "iban" else confirmed(k, spans(text, v[0], F.col(k)))).alias(k) for k, v in kinds.items()])
     return rows.select("doc_id", *[scored(k, F.col(k), text).alias(k) for k in kinds])
 
 

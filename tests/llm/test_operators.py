@@ -54,6 +54,16 @@ def test_personal_data(docs, none):
     assert pii.personal_data(none).count() == 0
 
 
+def test_ibans_in_running_text(spark):
+    de, fr, no = "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606", "NO9386011117947"
+    texts = [f"IBAN {de} Please pay", f"IBAN {de} I agree", f"ünï {de} 12 EUR", f"IBAN {fr} 12 EUR to {no} A1", f"IBAN FR76 {de} 12345 or", f"IBAN {de}1, {de}x, {de[:-1]}1"]
+    want = [[de], [de], [de], [fr, no], [de], []]
+    # The third has no word that tells of an account; checked ones need none.
+    got = {r["doc_id"]: r["iban"] for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[s["value"] for s in got[i]] for i in range(len(texts))] == want
+    assert all(texts[i][s["start"] : s["end"]] == s["value"] for i in got for s in got[i])
+
+
 def test_secrets(docs, none):
     got = {r["doc_id"]: r for r in secrets.secrets(docs).collect()}
     assert [len(got[12][k]) for k in secrets.BASE] == [1, 1, 1] and got[6]["hex"] == []
