@@ -102,7 +102,7 @@ def secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     @F.arrow_udf("array<double>")
     def score(words: pa.Array) -> pa.Array:
-        flat = [ratio(w, llr) if any(c.isdigit() for c in w) else -1.0 for w in words.flatten().to_pylist()]
+        flat = [ratio(w, llr) for w in words.flatten().to_pylist()]
         offsets = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64()))
 

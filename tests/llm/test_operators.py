@@ -70,6 +70,20 @@ def test_secrets(docs, none):
     assert secrets.secrets(none).count() == 0
 
 
+def test_secrets_of_letters_only(spark):
+    import random
+    import string
+
+    rng = random.Random(2)
+    key = lambda n, chars: "".join(rng.choices(chars, k=n))
+    plain = "the harbour watches over quiet rivers while herons stand Quick Zebras Jump Vexing Dwarfs BOLD FOXES GRAZE WITH MUCH KEY PRIDE SLYLY QUIET JAY VETO".split()
+    rows = [(i, " ".join(rng.choices(plain, k=60)) + f" token = {key(32, string.ascii_letters + string.digits)}") for i in range(400)]
+    found, word = key(24, string.ascii_letters), "harbourwatchesoverquietrivers"
+    rows.append((400, f"the herons {found} over {word} stand"))
+    got = {r["doc_id"]: r["random"] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [s["value"] for s in got[400]] == [found] and not any(got[i] for i in range(400))
+
+
 def test_near_duplicates(docs, none):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngramjoin.near_duplicates(docs).collect()]
     assert len(got) == len(ROWS)
