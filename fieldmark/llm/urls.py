@@ -1,8 +1,9 @@
 """URL filter: rules, and where none fits, naive Bayes over segmented host and path tokens.
 
-Host labels are split into words by a unigram Viterbi search. Word counts come from all pages' text
-through a count-min sketch of fixed size (ROWS x WIDTH counters), so what tasks hold doesn't grow with
-the data; its floor, total / WIDTH, is below the count of any word common enough to matter.
+Runs of letters in host labels and paths are split into words by a unigram Viterbi search. Spark counts
+the words of all pages' text exactly, joins the counts with the parts of the distinct runs, splits each
+run once with the counts of its own parts, and joins the words with the pages' runs again; no task holds
+more counts than one run has parts.
 A multinomial naive Bayes model learns from the urls that a rule judges; its tokens are hashed into
 BUCKETS counters a class, again a fixed size.
 """
@@ -17,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from fieldmark.llm.common import ascii_lower, stored, table
 
@@ -29,7 +29,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-ROWS, WIDTH, BUCKETS = 2, 1 << 17, 1 << 16
+BUCKETS = 1 << 16
 LONGEST = 24
 TAG = re.compile(r"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S | re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,63 +51,88 @@ def ruled(host: Column, path: Column) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def cells(word: str) -> tuple[int, ...]:
-    return tuple(xxh3_64_intdigest(word, seed=r) % WIDTH for r in range(ROWS))
-
-
-def word_sketch(pages: DataFrame) -> np.ndarray:
-    """Counts of the words of all pages' text in the count-min sketch."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word, n: the words of all pages' text that are at most LONGEST long; the word "" counts all longer ones."""
 
     def count(batches):
-        total = np.zeros((ROWS, WIDTH), np.int64)
         for batch in batches:
             seen = Counter()
             for html in batch.column("html"):
-                seen.update(LETTERS.findall(TAG.sub(" ", html.as_py() or "").lower()))
-            for w, n in seen.items():
-                for r, c in enumerate(cells(w)):
-                    total[r, c] += n
-        row, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(cell), pa.array(total[row, cell])], names=["r", "c", "n"])
-
-    out = np.zeros((ROWS, WIDTH), np.int64)
-    found = pages.select("html").mapInArrow(count, "r long, c long, n long").groupBy("r", "c").agg(F.sum("n").alias("n")).toArrow()
-    out[found.column("r").to_numpy(), found.column("c").to_numpy()] = found.column("n").to_numpy()
+                seen.update(w if len(w) <= LONGEST else "" for w in LETTERS.findall(TAG.sub(" ", html.as_py() or "").lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    return pages.select("html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def split(run: str, counts: dict[str, int], total: int) -> list[str]:
+    """The words whose unigram probabilities have the greatest product."""
+    known = {w: math.log(total) - math.log(n) for w, n in counts.items()}
+    new = math.log(total)
+    best, back = [0.0], [0]
+    for end in range(1, len(run) + 1):
+        cost, start = min((best[s] + known.get(run[s:end], new + 2.5 * (end - s)), s) for s in range(max(0, end - LONGEST), end))
+        best.append(cost)
+        back.append(start)
+    out, end = [], len(run)
+    while end:
+        out.append(run[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def marked_runs(host: str, path: str) -> list[str]:
+    """Runs of letters as H:run and P:run, still to be split, and the digits' tokens as they are."""
+    out = [f"{'h' if run[0].isdigit() else 'H'}:{run}" for label in SPLIT.split(host) if label for run in re.findall(r"\d+|[^\d]+", label)]
+    for part in SPLIT.split(path.lower()):
+        for run in re.findall(r"\d+|[^\d]+", part):
+            out += [f"p:#{len(run)}", f"p:#{run[0]}"] if run[0].isdigit() else [f"P:{run}"]
     return out
 
 
-class Segmenter:
-    """Splits a run of letters into the words whose unigram probabilities have the greatest product."""
-
-    def __init__(self, sketch: np.ndarray):
-        self.sketch, self.total, self.known = sketch, max(1, int(sketch[0].sum())), {}
-
-    def cost(self, word: str) -> float:
-        n = min(int(self.sketch[r, c]) for r, c in enumerate(cells(word))) - self.total / WIDTH
-        return math.log(self.total) - math.log(n) if n >= 1 else math.log(self.total) + 2.5 * len(word)
-
-    def split(self, run: str) -> list[str]:
-        if run not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            best, back = [0.0], [0]
-            for end in range(1, len(run) + 1):
-                cost, start = min((best[s] + self.cost(run[s:end]), s) for s in range(max(0, end - LONGEST), end))
-                best.append(cost)
-                back.append(start)
-            out, end = [], len(run)
-            while end:
-                out.append(run[back[end] : end])
-                end = back[end]
-            self.known[run] = out[::-1]
-        return self.known[run]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        out = [f"h:{w}" for label in SPLIT.split(host) if label for run in re.findall(r"\d+|[^\d]+", label) for w in ([run] if run[0].isdigit() else self.split(run))]
-        for part in SPLIT.split(path.lower()):
-            for run in re.findall(r"\d+|[^\d]+", part):
-                out += [f"p:#{len(run)}", f"p:#{run[0]}"] if run[0].isdigit() else [f"p:{w}" for w in self.split(run)]
-        return out
+def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """run, words: each distinct run split by the exact counts of its parts."""
+
+    def parts(batches):
+        for batch in batches:
+            out = []
+            for run in batch.column("run").to_pylist():
+                for part in {run[s:e] for s in range(len(run)) for e in range(s + 1, min(s + LONGEST, len(run)) + 1)}:
+                    out.append((run, part))
+                    if len(out) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=["run", "part"])
+                        out.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=["run", "part"])
+
+    total = max(1, counts.agg(F.sum("n")).first()[0] or 0)
+    known = runs.mapInArrow(parts, "run string, part string").join(counts, F.col("part") == F.col("word")).select("run", F.struct("word", "n").alias("one"))
+    # A row without a word keeps the runs of which no part is known.
+    each = known.unionByName(runs.select("run", F.lit(None).cast("struct<word:string,n:bigint>").alias("one"))).groupBy("run").agg(F.collect_list("one").alias("known"))
+
+    @F.arrow_udf("array<string>")
+    def words(run: pa.Array, known: pa.Array) -> pa.Array:
+        return pa.array([split(r, {x["word"]: x["n"] for x in k}, total) for r, k in zip(run.to_pylist(), known.to_pylist())], pa.list_(pa.string()))
+
+    return each.select("run", words("run", "known").alias("words"))
+
+
+def tokenized(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows and their tokens, h:word of the host and p:word of the path in their order."""
+
+    @F.arrow_udf("array<string>")
+    def runs_of(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        return pa.array([marked_runs(h.as_py(), p.as_py()) for h, p in zip(hosts, paths)], pa.list_(pa.string()))
+
+    # Stored, as the row numbers have to be the same each time they are read.
+    rows = stored(rows.withColumns({"row": F.monotonically_increasing_id(), "runs": runs_of("host", "path")}), "url-runs")
+    each = rows.select("row", F.posexplode("runs").alias("at", "mark"))
+    letters, marks = F.substring("mark", 1, 2).isin("H:", "P:"), F.substring("mark", 3, 1 << 30)
+    open_ = each.filter(letters).select("row", "at", F.lower(F.substring("mark", 1, 2)).alias("kind"), marks.alias("run"))
+    words = stored(segmented(open_.select("run").distinct(), counts), "url-words")
+    done = open_.join(words, "run").select("row", "at", F.transform("words", lambda w: F.concat("kind", w)).alias("tokens"))
+    all_ = done.unionByName(each.filter(~letters).select("row", "at", F.array("mark").alias("tokens")))
+    all_ = all_.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    return rows.drop("runs").join(all_, "row", "left").drop("row").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
 
 
 def judged(pages: DataFrame) -> DataFrame:
@@ -117,17 +142,11 @@ def judged(pages: DataFrame) -> DataFrame:
     decide. Without a page that a rule judges the verdict is allow. Repeated rows are judged each by
     itself; empty tables give empty results. Only page_id, url and html are read.
     """
-    sketch = word_sketch(pages)
     host, path = host_and_path(F.col("url"))
 
-    @F.arrow_udf("array<string>")
-    def tokens(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        s = Segmenter(sketch)
-        return pa.array([s.tokens(h.as_py(), p.as_py()) for h, p in zip(hosts, paths)], pa.list_(pa.string()))
-
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"))
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("said"), tokens("host", "path").alias("tokens"))
+    rows = tokenized(rows.select("*", rule.alias("rule"), verdict.alias("said")), stored(word_counts(pages), "word-counts"))
     rows = stored(rows.withColumn("hashed", F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))), "url-tokens")
     known = rows.filter("said IS NOT NULL")
     weights, prior = np.ones((2, BUCKETS)), np.ones(2)

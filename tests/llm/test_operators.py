@@ -215,3 +215,13 @@ def test_urls(spark):
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == ("www.example.com", "/en/7x", "example.com/en/7", "allow") and got[2][2:] == ("net/de/", "allow")
     assert got[5][2:] == ("example.net/de/8", "block") and got[3][:3] == ("", "", None)
+
+
+def test_urls_split_by_exact_counts(spark):
+    words = [f"{a}{b}{c}{d}" for a in "bcdfg" for b in "aeiou" for c in "lmnpqrst" for d in "aeiou"]
+    html = " ".join(words * 200 + ["heron", "marsh"])  # two words seen once among 200,000
+    rows = [(1, "http://heronmarsh.net/de/marshheron7", html), (2, "http://heronmarsh.net/de/marshheron7", ""), (3, None, html), (4, "http://balaqqqq-BALA.org/", None)]
+    got = {r["page_id"]: r["words"] for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == ["heron", "marsh", "net"] and got[3] == [] and got[4][0] == "bala" and got[4][-2:] == ["bala", "org"]
+    counts = {r["word"]: r["n"] for r in urls.word_counts(spark.createDataFrame([(html + " " + "z" * 30,)], "html string")).collect()}
+    assert counts["heron"] == 1 and counts["bala"] == 200 and counts[""] == 1
