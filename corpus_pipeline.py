@@ -16,9 +16,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts toxic go."""
+    """Documents that the classifier rejects go, by the cut that it calibrates on labelled rows of its own."""
     rows = toxicity(docs, table(spark, sf_dir, "labels"), keep=("text", "lang", "source", "n_chars"))
-    return rows.filter("predicted = 0").select(*COLUMNS)
+    return rows.filter("NOT rejected").select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +28,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least doc_id."""
-    groups = near_duplicates(docs).filter("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["kept"]), "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates stays: the one with the least doc_id, and of several rows with
+    that id and the same text one. Rows of one id with different texts are taken for one document and all stay; so do rows without an id."""
+    near = near_duplicates(docs).filter("doc_id = component_id")
+    groups = stored(near.groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("rows_of_id")), "kept-ids")
+    of = lambda ids: docs.join(ids, docs["doc_id"] == ids["kept"], "left_semi").select(*COLUMNS)
+    # Only rows of repeated ids are compared by text, so that other texts aren't shuffled for it.
+    several = of(groups.filter("rows_of_id > 1")).withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).select(*COLUMNS)
+    return of(groups.filter("rows_of_id = 1")).unionByName(several).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

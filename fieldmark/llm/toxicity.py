@@ -5,9 +5,11 @@ text is cut into overlapping windows; a window's distance is its compressed leng
 dictionary less its length with both. A logistic curve over a text's largest distances, fitted on
 labelled texts that the dictionaries haven't seen, is its score.
 
-What the toxic dictionary is trained on: the words of toxic texts that follow far more different
-words there than in ordinary ones (copies of one text always bring the same word before). Ordinary
-words would fill the dictionary otherwise, as most of a toxic text is ordinary.
+The toxic dictionary is trained on the toxic documents of the sample, each cut down to what sets it
+apart: its words that, over all of the sample, follow far more different words in toxic than in ordinary
+texts (copies of one text always bring the same word before). The rest of a toxic text is as ordinary as
+any other text and would fill the dictionary. How often such a word must be seen grows with the number of
+toxic documents in the sample (SHARE), so that chance finds stay out at any sample size.
 
 Fitted on a bounded sample of labelled rows: at most `sample` documents of each label for the
 dictionaries and as many for the curve, those with the lowest hash of doc_id; at most WORDS words and
@@ -32,7 +34,7 @@ from fieldmark.llm.common import WORD, ascii_lower, stored, table, whole_text
 WIDTH, STRIDE = 96, 84
 SAMPLE, WORDS, WINDOWS = 3000, 2048, 8000
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 16384
-MIN_BEFORE, LIFT = 4, 30.0
+MIN_BEFORE, SHARE, LIFT = 4, 0.008, 30.0
 CUT = 0.3
 
 
@@ -67,8 +69,10 @@ class Compressors:
 
 
 class Model:
-    def __init__(self, toxic: bytes, ordinary: bytes, curve: tuple[float, float, float]):
-        self.toxic, self.ordinary, self.curve = toxic, ordinary, curve
+    """Dictionaries, the curve, and the score from which a filter rejects (see `best_cut`)."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes, curve: tuple[float, float, float], cut: float = CUT):
+        self.toxic, self.ordinary, self.curve, self.cut = toxic, ordinary, curve, cut
 
     def score(self, most: float, mean: float) -> float:
         a, b, c = self.curve
@@ -98,17 +102,34 @@ def sampled(docs: DataFrame, marks: DataFrame, sample: int) -> DataFrame:
     return stored(texts.join(F.broadcast(ids), texts["doc_id"] == ids["id"]).select("text", "label", "part"), "toxicity-sample")
 
 
-def telling_words(train: DataFrame) -> list[tuple[str, int]]:
-    """(word, different words before it) of words that tell toxic from ordinary text."""
+def word_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, pos, word, before: the words of each text without marks at their ends, and the word before each."""
     bare = F.transform(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)), lambda w: F.btrim(w, F.lit(".,;:!?")))
-    rows = train.select("label", bare.alias("w")).select("label", F.explode(F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.col("w")).alias("before"))).alias("x"))
-    pairs = rows.select("label", "x.word", "x.before").filter("word IS NOT NULL").distinct()
+    pairs = F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("before"))
+    rows = docs.select(*keep, bare.alias("w")).filter(F.size("w") > 0)
+    return rows.select(*keep, F.posexplode(pairs).alias("pos", "x")).select(*keep, "pos", "x.word", "x.before")
+
+
+def telling_words(train: DataFrame) -> DataFrame:
+    """word: at most WORDS words that set toxic text apart from ordinary text."""
+    pairs = word_rows(train, "label").select("label", "word", "before").distinct()
     side = lambda y: F.count_if(F.col("label") == y)
     counts = pairs.groupBy("word").agg(side(1).alias("toxic"), side(0).alias("ordinary"))
     total = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    least = max(MIN_BEFORE, math.ceil(SHARE * train.filter("label = 1").count()))
     lift = (F.col("toxic") * float(total[1] or 0)) / ((F.col("ordinary") + 0.3) * float(total[0] or 1))
-    found = counts.filter((F.col("toxic") >= MIN_BEFORE) & (F.length("word") > 3) & (lift >= LIFT)).orderBy(F.col("toxic").desc(), "word").limit(WORDS)
-    return [(r["word"], r["toxic"]) for r in found.collect()]
+    found = counts.filter((F.col("toxic") >= least) & (F.length("word") > 3) & (lift >= LIFT))
+    return stored(found.orderBy(F.col("toxic").desc(), "word").limit(WORDS).select("word"), "toxicity-words")
+
+
+def toxic_samples(train: DataFrame) -> list[bytes]:
+    """The toxic training texts, each cut down to its telling words in their order; at most `sample` rows reach the driver."""
+    rows = word_rows(train.filter("label = 1").withColumn("doc", F.monotonically_increasing_id()), "doc")
+    # At most WORDS rows.
+    rows = rows.join(F.broadcast(telling_words(train)), "word").groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("t"))
+    found = sorted(f" {r['t']} ".encode() for r in rows.select("t").collect())
+    random.Random(3).shuffle(found)  # the trainer takes parts of the dictionary from stretches of the samples
+    return found
 
 
 def dictionary(size: int, samples: list[bytes]) -> bytes:
@@ -140,6 +161,19 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float,
     return tuple(map(float, w))
 
 
+def best_cut(scores: np.ndarray, y: np.ndarray) -> float:
+    """The score from which the share of toxic rows caught and the share of other rows left alone add up to the most;
+    the highest of several such. Shares by label, so that how many labels a sample has of each doesn't matter."""
+    if not (y == 1).any() or not (y == 0).any():
+        return CUT
+    cuts = np.unique(scores)
+    caught, hit = np.sort(scores[y == 1]), np.sort(scores[y == 0])
+    gain = (len(caught) - np.searchsorted(caught, cuts)) / len(caught) + np.searchsorted(hit, cuts) / len(hit)
+    best = len(cuts) - 1 - int(np.argmax(gain[::-1]))
+    # Half way to the next lower score, so that rounding doesn't decide.
+    return float(cuts[best] if best == 0 else (cuts[best] + cuts[best - 1]) / 2)
+
+
 def distances(docs: DataFrame, toxic: bytes, ordinary: bytes, *keep: str) -> DataFrame:
     """keep, most, mean: of each text's windows."""
 
@@ -156,32 +190,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = marked(labels)
     rows = sampled(docs, marks, sample)
     train = rows.filter("part = 'train'")
-    order = random.Random(3)
-    known = [f" {w} ".encode() for w, n in telling_words(train) for _ in range(3 * min(n, 20))]
-    order.shuffle(known)
     cuts = train.filter("label = 0").select(F.explode(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"(?s).{1,256}"), F.lit(0))).alias("w")).distinct()
     plain = [r["w"].encode() for r in cuts.orderBy(F.xxhash64("w"), "w").limit(WINDOWS).collect()]
-    toxic, ordinary = dictionary(TOXIC_BYTES, known), dictionary(ORDINARY_BYTES, plain)
+    toxic, ordinary = dictionary(TOXIC_BYTES, toxic_samples(train)), dictionary(ORDINARY_BYTES, plain)
     seen = distances(rows.filter("part = 'curve'"), toxic, ordinary, "label").collect()
     # Of a label with more than `sample` curve rows each sampled row stands for several.
     count = {r["label"]: r["count"] for r in marks.filter("part = 'curve'").groupBy("label").count().collect()}
     stands = [max(1.0, count[r["label"]] / max(sample, 1)) for r in seen]
-    return Model(toxic, ordinary, logistic(np.array([[r["most"], r["mean"]] for r in seen]), np.array([r["label"] for r in seen], float), np.array(stands)))
+    x, y = np.array([[r["most"], r["mean"]] for r in seen]), np.array([r["label"] for r in seen], float)
+    model = Model(toxic, ordinary, logistic(x, y, np.array(stands)))
+    model.cut = best_cut(np.array([model.score(*v) for v in x]), y)
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 from CUT on), then the columns named in `keep`.
+    """doc_id, score (0 to 1), predicted (1 from CUT on), rejected (from the cut calibrated on the curve's rows on),
+    then the columns named in `keep`.
 
     Null text counts as empty and gets the score of no distance; without labels the curve stays at
-    its start; repeated rows are scored each by itself; a null doc_id is kept. Labels of null ids or
-    other values than 0 and 1 teach nothing; of several labels of an id the largest counts.
+    its start and CUT is the cut; repeated rows are scored each by itself; a null doc_id is kept. Labels of
+    null ids or other values than 0 and 1 teach nothing; of several labels of an id the largest counts.
     """
     model = fit(docs, labels, sample)
     rows = distances(docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in keep]), model.toxic, model.ordinary, "doc_id", *[f"_{c}" for c in keep])
     a, b, c = model.curve
     line = F.greatest(F.least(F.lit(a) + F.lit(b) * F.col("most") + F.lit(c) * F.col("mean"), F.lit(30.0)), F.lit(-30.0))
     rows = rows.withColumn("score", F.round(1 / (1 + F.exp(-line)), 9))
-    return rows.select("doc_id", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), *[F.col(f"_{c}").alias(c) for c in keep])
+    return rows.select("doc_id", "score", (F.col("score") >= CUT).cast("int").alias("predicted"), (F.col("score") >= model.cut).alias("rejected"), *[F.col(f"_{c}").alias(c) for c in keep])
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

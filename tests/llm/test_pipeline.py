@@ -57,6 +57,24 @@ def test_one_of_each_group_of_near_copies_stays(spark, docs):
     assert all(got[i] == 1 for i in (6, 7, 11, None))
 
 
+def test_one_row_of_a_repeated_id_stays(spark):
+    rows = [(8, WORDS), (8, WORDS), (9, WORDS), (12, WORDS.upper()), (20, "a b c"), (20, "a b c"), (20, "d e f"), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in rows_of(spark, docs, "n-gram Jaccard join"))
+    assert got == {(8, WORDS): 1, (20, "a b c"): 1, (20, "d e f"): 1, (None, "x"): 2}
+
+
+def test_the_whole_pipeline_runs(spark):
+    got = corpus_pipeline.run(spark, SF).collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+    ids = {r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert got and {r["doc_id"] for r in got} < ids  # some documents are rejected or near copies
+
+
 def test_mixing_takes_at_most_three_copies_and_agrees_with_itself(spark, docs):
     one, two = (rows_of(spark, d, "mixing") for d in (docs, docs.repartition(5)))
     assert sorted(map(str, one)) == sorted(map(str, two))
