@@ -1,13 +1,14 @@
 """Line de-duplication through a sharded minimal perfect hash.
 
-1. Lines are counted by a 128-bit hash (hash aggregate with map-side partial sums, so a line that
-   stands in every document costs one row a task).
+1. Lines are counted by a 128-bit hash of their key: a task sums a batch's lines in Arrow arrays, Spark
+   adds the sums up (partial aggregates, so a line that stands in every document costs one row a task).
 2. The hashes of the lines that reach `min_docs` are dealt into shards; each shard's task builds a
    minimal perfect hash over them and packs fingerprint, count and holder arrays behind it.
-3. Documents probe the arrays by line hash. No line text is joined or shuffled.
+3. Documents probe the arrays by line hash, instead of joining lines.
    Arrays of at most `broadcast_bytes` in all are broadcast and documents are not shuffled at all;
    beyond that, hashes alone are routed to the shards (`routed`), salted by document so that a line
-   that stands everywhere spreads over `salts` tasks.
+   that stands everywhere spreads over `salts` tasks; the lines that go come back by document, and
+   only there are texts joined (by doc_id).
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import LOWER, SPACE, UPPER, stored, table, tasks, whole_text
+from fieldmark.llm.common import SPACE, stored, table, tasks, whole_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 1 << 18
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
 NO_HOLDER = -(1 << 63)
+PART = 512  # rows of a batch that are worked on at once
 
 
 def _mix(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
@@ -112,24 +116,56 @@ class Shard:
         return out
 
 
-def line_hashes(text: Column, min_chars: int) -> Column:
-    """array<struct<h1,h2>>: of each line's key; null for keys that are too short."""
+class Lines:
+    """The lines of some texts: `flat` in order, `of` their text's place, `at` the lines whose key has at least
+    min_chars code points, `h1` and `h2` the halves of those keys' hash."""
 
-    def one(line: Column) -> Column:
-        key = F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
-        return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key, F.length(key)).alias("h2")))
+    def __init__(self, texts: pa.Array, min_chars: int):
+        lists = pc.split_pattern(texts.cast(pa.large_string()), "\n")
+        self.flat, self.counts = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        self.of = np.repeat(np.arange(len(texts)), self.counts)
+        # A key is never longer than its line.
+        wide = np.flatnonzero(pc.greater_equal(pc.utf8_length(self.flat), min_chars).to_numpy(zero_copy_only=False))
+        keys = pc.ascii_lower(pc.utf8_trim(self.flat.take(pa.array(wide)), characters=SPACE))
+        long = pc.greater_equal(pc.utf8_length(keys), min_chars)
+        self.at = wide[long.to_numpy(zero_copy_only=False)]
+        digest = xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join(digest(k) for k in keys.filter(long).to_pylist()), "<u8").reshape(-1, 2)
+        self.h1, self.h2 = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
-    return F.transform(F.split(text, "\n", -1), one)
+    def without(self, gone: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The texts without the lines in `gone` (places in flat), and how many each lost."""
+        stay = np.ones(len(self.flat), bool)
+        stay[gone] = False
+        lost = np.bincount(self.of[gone], minlength=len(self.counts))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(self.counts - lost)]), pa.int64())
+        return pc.binary_join(pa.LargeListArray.from_arrays(offsets, self.flat.filter(pa.array(stay))), pa.scalar("\n", pa.large_string())).cast(pa.string()), lost
 
 
-def line_index(rows: DataFrame, min_docs: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """shard, shards, payload: rows (doc_id, lines) -> the packed shards."""
-    counts = (
-        rows.select("doc_id", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("k"))
-        .groupBy("k.h1", "k.h2")
-        .agg(F.count("*").alias("n"), F.coalesce(F.max("doc_id").cast("long"), F.lit(NO_HOLDER)).alias("holder"))
-        .filter(F.col("n") >= min_docs)
-    )
+def parts(batch: pa.RecordBatch):
+    for first in range(0, batch.num_rows, PART):
+        yield batch.slice(first, PART)
+
+
+def line_sums(rows: DataFrame, min_chars: int) -> DataFrame:
+    """h1, h2, n, holder: how many rows (doc_id, text) hold each long line, and the largest doc_id; several rows a line."""
+
+    def work(batches):
+        for batch in batches:
+            for part in parts(batch):
+                lines, ids = Lines(part.column("text"), min_chars), np.asarray(part.column("doc_id").fill_null(NO_HOLDER))
+                seen = np.unique(np.rec.fromarrays([lines.h1, lines.h2, lines.of[lines.at]], names="h1,h2,row"))
+                first = np.flatnonzero(np.r_[True, (seen.h1[1:] != seen.h1[:-1]) | (seen.h2[1:] != seen.h2[:-1])][: len(seen)])
+                if len(first):
+                    arrays = [seen.h1[first].view(np.int64), seen.h2[first].view(np.int64), np.diff(np.r_[first, len(seen)]), np.maximum.reduceat(ids[seen.row], first)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["h1", "h2", "n", "holder"])
+
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "h1 long, h2 long, n long, holder long")
+
+
+def line_index(rows: DataFrame, min_chars: int, min_docs: int, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """shard, shards, payload: rows (doc_id, text) -> the packed shards."""
+    counts = line_sums(rows, min_chars).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder")).filter(F.col("n") >= min_docs)
     counts = stored(counts, "line-counts")
     shards = max(1, -(-counts.count() // shard_keys))
 
@@ -137,44 +173,63 @@ def line_index(rows: DataFrame, min_docs: int, shard_keys: int = SHARD_KEYS) ->
         shard = Shard.build(pdf.h1.to_numpy().view(np.uint64), pdf.h2.to_numpy().view(np.uint64), pdf.n.to_numpy(), pdf.holder.to_numpy())
         return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "shards": [shards], "payload": [shard.pack()]})
 
-    dealt = counts.withColumn("shard", F.pmod(F.xxhash64("h2", "h1"), F.lit(shards)))
+    # Dealt by the hash itself, so that tasks find a line's shard without Spark.
+    dealt = counts.withColumn("shard", F.pmod("h2", F.lit(shards)))
     return stored(dealt.groupBy("shard").applyInPandas(build, "shard long, shards long, payload binary"), "line-index")
 
 
-def _with_flags_broadcast(rows: DataFrame, index: DataFrame, min_docs: int) -> DataFrame:
+RESULT = "struct<text:string,n_lines:long,n_dropped:long>"
+
+
+def _result(pieces: list[tuple[Lines, np.ndarray]]) -> pa.Array:
+    """The struct of RESULT for the rows of some parts, given their lines and the places of those that go."""
+    texts, sizes, lost = [], [], []
+    for lines, gone in pieces:
+        text, n = lines.without(gone)
+        texts.append(text)
+        sizes.append(lines.counts)
+        lost.append(n)
+    columns = [pa.concat_arrays(texts), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(lost), pa.int64())] if pieces else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())]
+    return pa.StructArray.from_arrays(columns, ["text", "n_lines", "n_dropped"])
+
+
+def _by_broadcast(rows: DataFrame, index: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     packed = {r["shard"]: bytes(r["payload"]) for r in index.collect()}
     shards = index.agg(F.max("shards")).first()[0] or 1
     shared = rows.sparkSession.sparkContext.broadcast(packed)
     opened: dict[int, Shard] = {}
 
-    @F.arrow_udf("array<boolean>")
-    def flags(h1: pa.Array, h2: pa.Array, shard: pa.Array, doc: pa.Array) -> pa.Array:
-        lengths = h1.value_lengths().to_numpy(zero_copy_only=False)
-        flat = [np.asarray(x.flatten().fill_null(0)) for x in (h1, h2, shard)]
-        valid = np.asarray(h1.flatten().is_valid())
-        a, b = flat[0].view(np.uint64), flat[1].view(np.uint64)
-        holder = np.repeat(np.asarray(doc.fill_null(NO_HOLDER)), lengths)
-        out = np.zeros(len(a), bool)
-        for s in np.unique(flat[2][valid]).tolist():
-            if s not in shared.value:
-                continue
-            if s not in opened:
-                opened[s] = Shard.unpack(shared.value[s])
-            at = np.flatnonzero(valid & (flat[2] == s))
-            out[at] = opened[s].dropped(a[at], b[at], holder[at], min_docs)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
-
-    dealt = F.transform("lines", lambda k: F.pmod(F.xxhash64(k["h2"], k["h1"]), F.lit(shards)))
-    return rows.withColumn("gone", flags(F.col("lines")["h1"], F.col("lines")["h2"], dealt, F.col("doc_id").cast("long")))
-
-
-def _with_flags_routed(rows: DataFrame, index: DataFrame, min_docs: int, salts: int) -> DataFrame:
+    @F.arrow_udf(RESULT)
+    def cleaned(texts: pa.Array, doc: pa.Array) -> pa.Array:
+        pieces = []
+        for part in parts(pa.RecordBatch.from_arrays([texts, doc.fill_null(NO_HOLDER)], names=["text", "doc_id"])):
+            lines = Lines(part.column("text"), min_chars)
+            holder = np.asarray(part.column("doc_id"))[lines.of[lines.at]]
+            shard, gone = lines.h2.view(np.int64) % shards, np.zeros(len(lines.at), bool)
+            for s in np.unique(shard).tolist():
+                if s in shared.value:
+                    if s not in opened:
+                        opened[s] = Shard.unpack(shared.value[s])
+                    at = np.flatnonzero(shard == s)
+                    gone[at] = opened[s].dropped(lines.h1[at], lines.h2[at], holder[at], min_docs)
+            pieces.append((lines, lines.at[gone]))
+        return _result(pieces)
+
+    return rows.withColumn("out", cleaned("text", F.col("doc_id").cast("long")))
+
+
+def _by_routing(rows: DataFrame, index: DataFrame, min_chars: int, min_docs: int, salts: int) -> DataFrame:
     shards = index.agg(F.max("shards")).first()[0] or 1
-    probes = (
-        rows.select("doc_id", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("k"))
-        .select((F.pmod(F.xxhash64("k.h2", "k.h1"), F.lit(shards)) * salts + F.pmod(F.xxhash64("doc_id"), F.lit(salts))).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.col("doc_id").cast("long").alias("doc"), F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
-    )
+
+    def hashes(batches):
+        for batch in batches:
+            for part in parts(batch):
+                lines, ids = Lines(part.column("text"), min_chars), part.column("doc_id")
+                seen = np.unique(np.rec.fromarrays([lines.h1, lines.h2, lines.of[lines.at]], names="h1,h2,row"))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(seen.row)), pa.array(seen.h1.view(np.int64)), pa.array(seen.h2.view(np.int64))], names=["doc", "h1", "h2"])
+
+    probes = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashes, "doc long, h1 long, h2 long")
+    probes = probes.select((F.pmod("h2", F.lit(shards)) * salts + F.pmod(F.xxhash64("doc"), F.lit(salts))).alias("bucket"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("payload"), "doc", "h1", "h2")
     none = F.lit(None).cast("long")
     arrays = index.select(F.explode(F.sequence(F.col("shard") * salts, F.col("shard") * salts + salts - 1)).alias("bucket"), F.lit(0).alias("kind"), "payload", none.alias("doc"), none.alias("h1"), none.alias("h2"))
 
@@ -207,8 +262,23 @@ def _with_flags_routed(rows: DataFrame, index: DataFrame, min_docs: int, salts:
         .groupBy("doc")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
     )
+
+    @F.arrow_udf(RESULT)
+    def cleaned(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        pieces = []
+        for part in parts(pa.RecordBatch.from_arrays([texts, hits], names=["text", "hits"])):
+            lines, gone = Lines(part.column("text"), min_chars), []
+            of = lines.of[lines.at]
+            for row, known in enumerate(part.column("hits")):
+                if known.is_valid:
+                    known = {(x["h1"], x["h2"]) for x in known.as_py()}
+                    lo, hi = np.searchsorted(of, [row, row + 1])
+                    gone += [i for i in range(lo, hi) if (lines.h1[i].view(np.int64), lines.h2[i].view(np.int64)) in known]
+            pieces.append((lines, lines.at[gone]))
+        return _result(pieces)
+
     out = rows.join(hits, rows["doc_id"].cast("long").eqNullSafe(hits["doc"]), "left")
-    return out.withColumn("gone", F.transform("lines", lambda k: F.coalesce(F.array_contains("hits", k), F.lit(False)))).drop("doc", "hits")
+    return out.withColumn("out", cleaned("text", "hits"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, salts: int = SALTS, shard_keys: int = SHARD_KEYS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -218,20 +288,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     least min_chars code points that stand in at least min_docs documents stay only in the largest
     doc_id that holds them (all their lines there). Null or empty text is one empty line. Every row
     counts as a document; rows that share the largest doc_id all keep the line, and a null doc_id is
-    below all others. Empty tables give empty results.
+    below all others. doc_id is a whole number or text of one. Empty tables give empty results.
     """
-    rows = docs.select("doc_id", whole_text().alias("text"), *[F.col(c).alias(f"_{c}") for c in keep]).withColumn("lines", line_hashes(F.col("text"), min_chars))
-    index = line_index(rows, min_docs, shard_keys)
+    rows = docs.select("doc_id", whole_text().alias("text"), *[F.col(c).alias(f"_{c}") for c in keep])
+    index = line_index(rows, min_chars, min_docs, shard_keys)
     size = index.agg(F.sum(F.length("payload"))).first()[0] or 0
-    flagged = _with_flags_broadcast(rows, index, min_docs) if size <= broadcast_bytes else _with_flags_routed(rows, index, min_docs, salts)
-    both = F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.col("gone"))
-    return flagged.select(
-        "doc_id",
-        F.array_join(F.transform(F.filter(both, lambda x: ~x["gone"]), lambda x: x["line"]), "\n").alias("text"),
-        F.size("gone").cast("long").alias("n_lines"),
-        F.size(F.filter("gone", lambda x: x)).cast("long").alias("n_dropped"),
-        *[F.col(f"_{c}").alias(c) for c in keep],
-    )
+    done = _by_broadcast(rows, index, min_chars, min_docs) if size <= broadcast_bytes else _by_routing(rows, index, min_chars, min_docs, salts)
+    return done.select("doc_id", "out.text", "out.n_lines", "out.n_dropped", *[F.col(f"_{c}").alias(c) for c in keep])
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ WIDTH, STRIDE = 96, 84
 SAMPLE, WORDS, WINDOWS = 3000, 2048, 8000
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 16384
 MIN_BEFORE, SHARE, LIFT = 4, 0.008, 30.0
-CUT = 0.3
+CUT, KEEP = 0.3, 0.95
 
 
 def fold(doc_id: Column) -> Column:
@@ -162,16 +162,17 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float,
 
 
 def best_cut(scores: np.ndarray, y: np.ndarray) -> float:
-    """The score from which the share of toxic rows caught and the share of other rows left alone add up to the most;
-    the highest of several such. Shares by label, so that how many labels a sample has of each doesn't matter."""
+    """The score from which a filter rejects: of those that leave KEEP of the ordinary rows alone, the one that adds up to
+    the largest shares of toxic rows caught and ordinary rows left alone. CUT where nothing is better than chance."""
     if not (y == 1).any() or not (y == 0).any():
         return CUT
-    cuts = np.unique(scores)
+    known = np.unique(scores)
+    cuts = (known[1:] + known[:-1]) / 2  # between scores, so that rounding doesn't decide
     caught, hit = np.sort(scores[y == 1]), np.sort(scores[y == 0])
-    gain = (len(caught) - np.searchsorted(caught, cuts)) / len(caught) + np.searchsorted(hit, cuts) / len(hit)
-    best = len(cuts) - 1 - int(np.argmax(gain[::-1]))
-    # Half way to the next lower score, so that rounding doesn't decide.
-    return float(cuts[best] if best == 0 else (cuts[best] + cuts[best - 1]) / 2)
+    kept = np.searchsorted(hit, cuts) / len(hit)
+    gain = (len(caught) - np.searchsorted(caught, cuts)) / len(caught) + kept - 1
+    gain[kept < KEEP] = 0
+    return float(cuts[np.argmax(gain)]) if len(cuts) and gain.max() > 0 else CUT
 
 
 def distances(docs: DataFrame, toxic: bytes, ordinary: bytes, *keep: str) -> DataFrame:
