@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import LOWER, UPPER, table, whole_text
+from fieldmark.llm.common import ascii_lower, table, whole_text
 from fieldmark.llm.spans import ONE, matches, said, spans
 
 # The base patterns, written so that each has the plain pattern's leftmost matches
@@ -27,17 +27,17 @@ IBAN_LENGTHS = {
 # A match is an IBAN's start, so that a candidate which fails its check hides no other; group 1 is the whole candidate.
 IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?=(" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9]))[A-Z]{2}[0-9]{2}"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-#: Context words that raise a span's score when they stand within NEAR code points before it.
+#: Words that raise a span's score when they stand, whole, within spans.NEAR code points before or after it.
 CONTEXT = {
-    "email": "mail|contact|write|kontakt|correo",
+    "email": "e-?mail|mail|contact|write|kontakt|correo",
     "ip": "ip|host|server|address|adresse",
     "card": "card|visa|credit|karte|carte|tarjeta",
-    "phone": "phone|tel|call|mobile|fax|telefon",
+    "phone": "phone|tel|call|mobile|fax|telefon|telefono",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "national": "ssn|social|security|insurance|national",
 }
 PRIOR = {"email": 0.7, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.4, "national": 0.3}
-CONFIRMED, NEARBY, NEAR, KEEP = 0.4, 0.3, 40, 0.5
+CONFIRMED, NEARBY, KEEP = 0.4, 0.3, 0.5
 
 
 def _digits(x: Column) -> Column:
@@ -67,7 +67,7 @@ def _mod97(x: Column) -> Column:
 def _ibans(text: Column, found: Column) -> Column:
     """The IBANs among the candidates whose starts are found: those that pass mod-97, none within another."""
     whole = F.when(F.size(found) > 0, F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    each = F.zip_with(spans(text, IBAN, found), whole, lambda s, v: F.struct(s["start"].alias("start"), (s["start"] + F.length(v)).cast("bigint").alias("end"), v.alias("value")))
+    each = F.zip_with(spans(text, IBAN, found), whole, lambda s, v: F.struct(s["start"].alias("start"), (s["start"] + F.length(v)).cast("bigint").alias("end"), v.alias("value"), s["before"].alias("before"), F.substring(s["after"], F.length(v) - 3, F.lit(64)).alias("after")))
     valid = F.filter(each, lambda s: _mod97(s["value"]))
     apart = lambda acc, s: F.when(s["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)), F.concat(acc, F.array(s)).cast(ONE)).otherwise(acc)
     return F.aggregate(valid, F.array().cast(ONE), apart)
@@ -98,20 +98,25 @@ BASE = ("email", "ip", "card", "phone")
 CHECKED = ("card", "iban", "ip")
 
 
-def scored(kind: str, found: Column, text: Column) -> Column:
-    """Adds kind and score; spans of the method's own kinds need a score of KEEP, base spans stay whatever it is."""
+SCORED = "array<struct<kind:string,start:bigint,end:bigint,value:string,score:double,context:string>>"
+
+
+def scored(kind: str, found: Column) -> Column:
+    """Adds kind, score and the context word that raised it ("" without one); spans of the method's own kinds need a
+    score of KEEP, base spans stay whatever it is."""
 
     def one(s: Column) -> Column:
-        before = F.translate(F.substring(text, F.greatest(s["start"] - NEAR + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(NEAR)).cast("int")), UPPER, LOWER)
-        score = F.lit(PRIOR[kind] + CONFIRMED * (kind in CHECKED)) + F.when(before.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
+        near = ascii_lower(F.concat_ws("\n", s["before"], s["after"]))
+        word = F.regexp_extract(near, rf"(?<![a-z0-9])({CONTEXT[kind]})(?![a-z0-9])", 1)
+        score = F.lit(PRIOR[kind] + CONFIRMED * (kind in CHECKED)) + F.when(word != "", NEARBY).otherwise(0.0)
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"), word.alias("context"))
 
     out = F.transform(found, one)
-    return out if kind in BASE else F.filter(out, lambda s: s["score"] >= KEEP)
+    return (out if kind in BASE else F.filter(out, lambda s: s["score"] >= KEEP)).cast(SCORED)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, then per kind an array<struct<kind,start,end,value,score>>.
+    """doc_id, then per kind an array<struct<kind,start,end,value,score,context>>.
 
     Null text counts as empty and has no spans; empty tables give empty results; repeated rows are
     judged each by itself; a null doc_id is kept. Only doc_id and text are read of the input, so
@@ -121,7 +126,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     text, kinds = F.col("text"), maybe(F.col("text"))
     rows = rows.select("doc_id", "text", *[matches(text, *v).alias(k) for k, v in kinds.items()])
     rows = rows.select("doc_id", "text", *[(_ibans(text, F.col(k)) if k == "iban" else confirmed(k, spans(text, v[0], F.col(k)))).alias(k) for k, v in kinds.items()])
-    return rows.select("doc_id", *[scored(k, F.col(k), text).alias(k) for k in kinds])
+    return rows.select("doc_id", *[scored(k, F.col(k)).alias(k) for k in kinds])
 
 
 def op4_personal_data(spark, sf_dir: str) -> DataFrame:
@@ -135,4 +140,5 @@ def op4_personal_data(spark, sf_dir: str) -> DataFrame:
         F.array_join(F.concat(*texts.values()), ",").alias("spans"),
         F.size("iban").cast("long").alias("n_iban"),
         F.size("national").cast("long").alias("n_national"),
+        F.array_join(F.transform(F.concat(*map(F.col, PRIOR)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), F.format_number(s["score"], 1), s["context"])), ",").alias("scores"),
     )
