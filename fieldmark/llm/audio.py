@@ -5,16 +5,14 @@ resampled by a polyphase filter bank, framed with overlap into log-mel energies
 segments by an energy threshold with hysteresis. Log-mel frames are stored as tensors of one fixed
 shape (CHUNK x MELS, the last one padded with the floor value), each with its time span.
 
-One pass, no shuffle: every row is worked on by itself, in slices of SLICE samples, so memory is
-bounded by one row's bytes.
+One pass, no shuffle: every row is worked on by itself, resampled in slices of SLICE samples that hand
+the filter's history on, so memory is bounded by one row's bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 import wave
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +26,8 @@ UP, DOWN, TAPS = 2, 3, 8
 FRAME, HOP, MELS, CHUNK = 256, 128, 24, 64
 ENTER_DB, LEAVE_DB = 1.5, 0.5
 FLOOR = 1e-6
-SLICE = 1 << 20
+SLICE = 3 << 18  # a multiple of DOWN, so that a slice begins at phase 0
+TENSORS = 256  # that are held before a batch is handed on
 
 
 def bank() -> np.ndarray:
@@ -39,10 +38,11 @@ def bank() -> np.ndarray:
     return (UP * h / h.sum()).reshape(TAPS, UP).T.astype(np.float32)
 
 
-def resample(x: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """x at UP/DOWN of its rate: output n is phase n*DOWN mod UP of the bank over the samples before n*DOWN/UP."""
+def resample(x: np.ndarray, parts: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """x at UP/DOWN of its rate: output n is phase n*DOWN mod UP of the bank over the samples before n*DOWN/UP.
+    before: the TAPS-1 samples that x follows (zeros at the beginning)."""
     total = -(-len(x) * UP // DOWN)
-    padded = np.concatenate([np.zeros(TAPS - 1, np.float32), x, np.zeros(1, np.float32)])
+    padded = np.concatenate([np.zeros(TAPS - 1, np.float32) if before is None else before, x, np.zeros(1, np.float32)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
     out = np.empty(total, np.float32)
     for first in range(UP):
@@ -52,6 +52,12 @@ def resample(x: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return out
 
 
+def resampled(samples: np.ndarray, parts: np.ndarray, size: int = SLICE) -> np.ndarray:
+    """resample() of all samples, `size` (a multiple of DOWN) at a time."""
+    old = np.concatenate([np.zeros(TAPS - 1, np.float32), samples])
+    return np.concatenate([resample(samples[i : i + size], parts, old[i : i + TAPS - 1]) for i in range(0, len(samples), size)])
+
+
 def mel_bank() -> np.ndarray:
     """Triangles over FRAME/2+1 bins, evenly spaced on the mel scale."""
     top = RATE * UP / DOWN / 2
@@ -69,7 +75,7 @@ class Features:
 
     def frames(self, samples: np.ndarray):
         """Log-mel energies [frames, MELS] and frame energies in dB."""
-        x = np.concatenate([resample(samples[i : i + SLICE], self.parts) for i in range(0, len(samples), SLICE)])
+        x = resampled(samples, self.parts)
         if len(x) < FRAME:
             x = np.pad(x, (0, FRAME - len(x)))
         views = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
@@ -106,12 +112,18 @@ def samples_of(media: bytes) -> bytes:
 
 
 SECONDS = HOP * DOWN / UP / RATE
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long"
-FULL = f"{DIGEST}, media binary, segments array<struct<start_s:double,end_s:double>>, tensors array<struct<start_s:double,end_s:double,log_mel:array<float>>>"
+SHAPE = "n_bytes long, n_frames long, media binary, segments array<struct<start_s:double,end_s:double>>, tensors array<struct<start_s:double,end_s:double,log_mel:array<float>>>"
+
+
+def _spans(rows: list[list[tuple[float, float]]]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Offsets, starts and ends of each row's spans."""
+    flat = np.array([x for r in rows for x in r], float).reshape(-1, 2)
+    return pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(flat[:, 0]), pa.array(flat[:, 1])
 
 
-def audio(docs: DataFrame, full: bool = True) -> DataFrame:
-    """doc_id, the digest columns and, if full, media (WAV bytes), segments and tensors (CHUNK*MELS floats each).
+def audio(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_frames, media (WAV bytes), segments (time spans), and tensors: log-mel frames of CHUNK*MELS
+    floats each, with their time spans (`tensor_column` gives them Arrow's fixed-shape type).
 
     Null text counts as empty and becomes UNIT blanks; empty tables give empty results; repeated
     rows are worked on each by itself and a null doc_id is kept. Only doc_id and text are read.
@@ -119,44 +131,34 @@ def audio(docs: DataFrame, full: bool = True) -> DataFrame:
     rows = docs.select("doc_id", whole_text().alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
+    def packed(done: list[tuple]) -> pa.RecordBatch:
+        ids, sizes, frames, media, cuts, tensors = zip(*done)
+        at, first, last = _spans(cuts)
+        segments = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([first, last], ["start_s", "end_s"]))
+        at, first, last = _spans([[(c * CHUNK * SECONDS, min((c + 1) * CHUNK, n) * SECONDS) for c in range(len(t) // CHUNK)] for n, t in zip(frames, tensors)])
+        flat = np.concatenate(tensors).ravel()
+        mels = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, CHUNK * MELS), pa.int32()), pa.array(flat))
+        chunks = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([first, last, mels], ["start_s", "end_s", "log_mel"]))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(sizes, pa.int64()), pa.array(frames, pa.int64()), pa.array(media, pa.binary()), segments, chunks], names=["doc_id", "n_bytes", "n_frames", "media", "segments", "tensors"])
+
     def work(batches):
-        f = Features()
+        f, done, held = Features(), [], 0
         for batch in batches:
             for at in range(batch.num_rows):
                 text = batch.column("text")[at].as_py().encode()
-                payload = text + b" " * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
-                media = wav(payload)
-                back = samples_of(media)
-                mel, db = f.frames((np.frombuffer(back, np.uint8).astype(np.float32) - 128) / 128)
-                cuts = segments(db)
-                count = -(-len(mel) // CHUNK)
-                tensor = np.full((count * CHUNK, MELS), np.log(FLOOR), np.float32)
+                media = wav(text + b" " * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text)))
+                mel, db = f.frames((np.frombuffer(samples_of(media), np.uint8).astype(np.float32) - 128) / 128)
+                tensor = np.full((-(-len(mel) // CHUNK) * CHUNK, MELS), np.log(FLOOR), np.float32)
                 tensor[: len(mel)] = mel
-                rounded = np.round(mel.mean(axis=0), 3) + 0.0
-                said = f"{len(mel)};{count}x{CHUNK}x{MELS};{','.join(f'{v:.3f}' for v in rounded)};{','.join(f'{a}-{b}' for a, b in cuts)}"
-                row = {
-                    "doc_id": batch.column("doc_id")[at].as_py(), "n_bytes": len(text), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(),
-                    "tail_crc32": zlib.crc32(back[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-                    "feature": hashlib.sha256(said.encode()).hexdigest()[:16] + f";frames={len(mel)};segments={len(cuts)};level={float(np.round(db.mean(), 2)) + 0.0:.2f}", "n_frames": len(mel), "n_segments": len(cuts),
-                }
-                if full:
-                    row["media"] = media
-                    row["segments"] = [{"start_s": a * SECONDS, "end_s": b * SECONDS} for a, b in cuts]
-                    row["tensors"] = [{"start_s": c * CHUNK * SECONDS, "end_s": min((c + 1) * CHUNK, len(mel)) * SECONDS, "log_mel": tensor[c * CHUNK : (c + 1) * CHUNK].ravel()} for c in range(count)]
-                done.append(row)
-                if len(done) >= (64 if full else 2048):
-                    yield pa.RecordBatch.from_pylist(done, schema)
-                    done.clear()
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema)
-                done.clear()
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    shape = f"doc_id {kind}, {FULL if full else DIGEST}"
-    schema, done = to_arrow_schema(StructType.fromDDL(shape)), []
-    return rows.mapInArrow(work, shape)
+                done.append((batch.column("doc_id").slice(at, 1), len(text), len(mel), media, [(a * SECONDS, b * SECONDS) for a, b in segments(db)], tensor))
+                held += len(tensor) // CHUNK
+                if held >= TENSORS:
+                    yield packed(done)
+                    done, held = [], 0
+        if done:
+            yield packed(done)
+
+    return rows.mapInArrow(work, f"doc_id {kind}, {SHAPE}")
 
 
 def tensor_column(table: pa.Table) -> pa.ExtensionArray:
@@ -166,5 +168,15 @@ def tensor_column(table: pa.Table) -> pa.ExtensionArray:
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, CHUNK * MELS))
 
 
+HEADER = 44  # bytes of a WAV file before its samples
+
+
 def op1_audio(spark, sf_dir: str) -> DataFrame:
-    return audio(table(spark, sf_dir, "documents"), full=False)
+    """Digests of the stored media, tensors and spans: feature is a hash of all tensors, their time spans and the segments' spans."""
+    payload = F.substring("media", HEADER + 1, 1 << 30)
+    size = F.octet_length("media") - HEADER
+    hashed = F.lpad(F.lower(F.hex(F.xxhash64("tensors", "segments"))), 16, "0")
+    feature = F.concat_ws(";", hashed, F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("tensors="), F.size("tensors")), F.concat(F.lit("segments="), F.size("segments")))
+    return audio(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring("media", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "n_frames", F.size("segments").cast("long").alias("n_segments"))

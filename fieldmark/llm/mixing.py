@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import WORD, stored, table, whole_text
+from fieldmark.llm.common import WORD, stored, table, tasks, whole_text
 
 BLOCK, SHARD, MOST, SEED = 64, 4096, 3, 17
 WEIGHTS = (1, 2, 3)
@@ -102,7 +102,8 @@ def draw(per: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOS
 
 def slots(drawn: DataFrame) -> DataFrame:
     """source, shard, slot, block: one row a slot of the mix."""
-    rows = drawn.repartition("source", "shard").select("source", "blocks", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
+    # A number of partitions, as counts are few rows that grow into many: Spark would join them into one task.
+    rows = drawn.repartition(tasks(drawn.sparkSession), "source", "shard").select("source", "blocks", "shard", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
     lap = F.floor(F.col("slot") / F.col("blocks"))
     return rows.select("source", "shard", "slot", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("source"), lap).alias("block"))
 

@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -32,6 +33,12 @@ CACHE = 400_000
 # for texts of Latin-1 characters only (\p{L}, \p{N} and \s written out for those).
 LETTER, NUMBER, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\x0b\x0c\x85\xa0"
 PIECE = re.compile(f"[{LETTER}]+|'(?:[stmd]|re|ve|ll)|[{NUMBER}]|[^{BLANKS}{LETTER}{NUMBER}]+")
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 #: Other texts are cut at these only; the tokenizer does the rest.
 BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 #: The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the others from 256 on in order.
@@ -47,12 +54,14 @@ def default_tokenizer() -> str:
 
 
 class Words:
-    """Token ids of texts. The vocabulary never joins across pieces, so each piece is tokenised once
-    and its ids' bytes are remembered (for up to CACHE pieces). Texts that name a special token go to
-    the tokenizer whole."""
+    """Token ids of texts. Where the vocabulary cuts texts as PIECE does, it never joins across pieces, so each
+    piece is tokenised once and its ids' bytes are remembered (for up to CACHE pieces). Texts that name a special
+    token, and all texts of a vocabulary with other settings, go to the tokenizer whole."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        says = json.loads(self.tokenizer.to_str())
+        self.known = all(says.get(k) == v for k, v in SETTINGS.items()) and says["model"].get("end_of_word_suffix") == "</w>" and all("<|" in t["content"] for t in says["added_tokens"])
         self.tokenize = self.tokenizer.model.tokenize
         self.seen: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -61,7 +70,7 @@ class Words:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:
+        if not self.known or "<|" in text:
             return np.frombuffer(self._encode([text])[0], np.uint32)
         try:
             text.encode("latin-1")

@@ -27,7 +27,7 @@ HEX = r"[0-9a-f]{32,}"  # a maximal run of 32 or more
 #: A word that the models judge.
 WORDLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 BASE = ("assign", "access", "hex")
-LEAST, CANDIDATE = 8, 20
+LEAST, CANDIDATE = 5, 20
 IDENTIFIER = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
 #: The threshold where there are fewer than FEW labelled words of a kind to set it, and the histogram's step.
 THRESHOLD, FALSE, RECALL, FEW, STEP = 0.8, 0.0005, 0.99, 40, 0.02

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from fieldmark.llm.common import table, tasks, whole_text
+from fieldmark.llm.common import stored, table, tasks, whole_text
 
 SHINGLE, BITS, STEP = 2, 128, 2048
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CACHE = 200_000
+BUCKET = 64 << 20
 
 
 def _final(x: np.ndarray, k: np.uint64) -> np.ndarray:
@@ -80,26 +81,35 @@ def hamming(a: Column, b: Column) -> Column:
     return sum((F.bit_count(part(a, i).bitwiseXOR(part(b, i))) for i in range(4)), F.lit(0))
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int = 8) -> DataFrame:
-    """a, b, distance: all pairs of different fingerprints at most `radius` bits apart, a < b.
+def block_keys(print_: Column, radius: int, blocks: int) -> Column:
+    """A fingerprint's key in each block table: the bits are cut into `blocks` blocks; of two fingerprints within the
+    radius, blocks - radius blocks agree, so one table for each choice of that many blocks holds every near pair."""
+    if not 0 <= radius < blocks or BITS // 4 % blocks:
+        raise ValueError(f"radius {radius} needs more blocks than that, and blocks a divisor of {BITS // 4}")
+    width = BITS // 4 // blocks
+    chosen = combinations(range(blocks), blocks - radius)
+    return F.array(*[F.concat(F.lit(f"{t}:"), *[F.substring(print_, 1 + width * i, width) for i in which]) for t, which in enumerate(chosen)])
+
+
+def near_fingerprints(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """query, fingerprint, distance: all fingerprints at most `radius` bits from each of the queries, itself too if it is one of prints.
 
-    Works on distinct fingerprints (documents that share one are members of it, not pairs). The bits
-    are cut into `blocks` blocks; within the radius, blocks - radius of them agree, so one table for
-    each choice of that many blocks, keyed by their bits, holds every pair. A pair is reported by the
-    first table in which it meets.
+    Both sides are reduced to distinct fingerprints; nulls are left out. A pair is reported by the first table in which
+    it meets. `blocks` (a divisor of 32) sets a key's bits: 128 * (1 - radius / blocks); more blocks make keys longer and tables more.
     """
-    one = prints.select("fingerprint").filter(F.col("fingerprint").isNotNull()).distinct()
-    width = BITS // 4 // blocks
-    chosen = list(combinations(range(blocks), blocks - radius))
-    block = lambda c, i: F.substring(c, 1 + width * i, width)
-    key = lambda c, t: F.concat(F.lit(f"{t}:"), *[block(c, i) for i in chosen[t]])
-    keyed = one.select("fingerprint", F.explode(F.array(*[key(F.col("fingerprint"), t) for t in range(len(chosen))])).alias("key"))
-    a, b = keyed.select(F.col("fingerprint").alias("a"), "key"), keyed.select(F.col("fingerprint").alias("b"), "key")
-    pairs = a.join(b, "key").filter("a < b").withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= radius)
-    first = F.lit(None).cast("string")
-    for t in reversed(range(len(chosen))):
-        first = F.when(F.forall(F.array(*[block(F.col("a"), i) == block(F.col("b"), i) for i in chosen[t]]), lambda x: x), key(F.col("a"), t)).otherwise(first)
-    return pairs.filter(F.col("key") == first).select("a", "b", "distance")
+    keyed = lambda d, name: d.select(F.col("fingerprint").alias(name)).filter(F.col(name).isNotNull()).distinct().withColumn("keys", block_keys(F.col(name), radius, blocks))
+    a, b = (keyed(d, n).select(n, F.posexplode("keys").alias(f"{n}_at", "key")) for d, n in ((queries, "query"), (prints, "fingerprint")))
+    met = a.join(b, "key").withColumn("distance", hamming(F.col("query"), F.col("fingerprint"))).filter(F.col("distance") <= radius)
+    both = F.arrays_zip(block_keys(F.col("query"), radius, blocks).alias("q"), block_keys(F.col("fingerprint"), radius, blocks).alias("f"))
+    first = F.array_position(F.transform(both, lambda x: x["q"] == x["f"]), True) - 1
+    return met.filter(F.col("query_at") == first).select("query", "fingerprint", "distance")
+
+
+def near_counts(prints: DataFrame, asked: Column, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """The rows of prints with near: for those asked, how many other rows' fingerprints are at most `radius` bits from theirs; null for others."""
+    rows = prints.groupBy("fingerprint").agg(F.count("*").alias("rows"))
+    met = near_fingerprints(prints, prints.filter(asked), radius, blocks).join(rows, "fingerprint").groupBy("query").agg((F.sum("rows") - 1).alias("found"))
+    return prints.join(met, prints["fingerprint"] == met["query"], "left").withColumn("near", F.when(asked, F.coalesce("found", F.lit(0)))).drop("query", "found")
 
 
 OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -108,11 +118,12 @@ OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprin
 def followed(docs: DataFrame):
     """doc_id, text dealt so that each bucket of neighbouring ids, in descending order, ends with the
     first document of the next bucket (own = false). Bucket bounds are quantiles of doc_id, one for
-    each shuffle partition; a bucket is streamed, never held. Nulls come after all other ids, ties go
+    each shuffle partition or BUCKET bytes of text, whichever are more; a bucket is streamed, never held. Nulls come after all other ids, ties go
     by the text's hash.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
-    want = tasks(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    want = max(tasks(docs.sparkSession), size // BUCKET)
     bounds = sorted({int(x) for x in (ids.filter("id IS NOT NULL").approxQuantile("id", [i / want for i in range(1, want)], 0.1 / want) if want > 1 else [])})
     # Bucket 0 has the largest ids; the last one, the nulls too.
     bucket = F.lit(len(bounds)) - F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: F.col("id") >= b)) if bounds else F.lit(0)
@@ -134,14 +145,15 @@ def edits(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     The edited text has its last floor(n/3) code points replaced by the first as many (or all) of the
     next document, descending doc_id; the last one's next is the first. Null text counts as empty;
-    null ids come last; rows that repeat an id follow each other by their text's hash; an only
+    null ids come last (doc_id is a whole number or text of one); rows that repeat an id follow each other by their text's hash; an only
     document is its own next; an empty table gives an empty result.
     """
     rows, have = followed(docs)
     kind = dict(rows.dtypes)["doc_id"]
     shape = f"doc_id {kind}, {OUT}"
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartition(max(tasks(docs.sparkSession), len(have)), "bucket").sortWithinPartitions("bucket", F.col("own").desc(), F.col("id").desc_nulls_last(), "tie", "text")
+    # A partition for each bucket, not a hash of its number, which would put some together.
+    dealt = rows.repartitionById(max(1, max(have, default=0) + 1), "bucket").sortWithinPartitions("bucket", F.col("own").desc(), F.col("id").desc_nulls_last(), "tie", "text")
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -177,4 +189,6 @@ def edits(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return edits(table(spark, sf_dir, "documents"))
+    """near_count: for the documents whose id is divisible by 20, how many other documents' fingerprints are within 3 bits of theirs."""
+    rows = stored(edits(table(spark, sf_dir, "documents")), "fingerprints")
+    return near_counts(rows, F.coalesce(F.col("doc_id").cast("long") % 20 == 0, F.lit(False))).withColumnRenamed("near", "near_count")

@@ -5,7 +5,9 @@ the words of all pages' text exactly, joins the counts with the parts of the dis
 run once with the counts of its own parts, and joins the words with the pages' runs again; no task holds
 more counts than one run has parts.
 A multinomial naive Bayes model learns from the urls that a rule judges; its tokens are hashed into
-BUCKETS counters a class, again a fixed size.
+BUCKETS counters a class, again a fixed size. Both verdicts are taken to be as likely beforehand (how many
+pages the rules happen to name says nothing about the others), and a class's shares are smoothed towards
+those of both classes, so that tokens that neither knows count for neither.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 BUCKETS = 1 << 16
+SMOOTH = 50.0
 LONGEST = 24
 TAG = re.compile(r"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S | re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -42,10 +45,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(part(1)), part(2)
 
 
-def ruled(host: Column, path: Column) -> tuple[Column, Column]:
+def ruled(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Column]:
     """The longest rule that fits, as host+path, and its verdict; null where none fits."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, h, p in sorted(RULES, key=lambda r: len(r[1] + r[2])):
+    for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
     return rule, verdict
@@ -135,33 +138,39 @@ def tokenized(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.drop("runs").join(all_, "row", "left").drop("row").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
 
 
-def judged(pages: DataFrame) -> DataFrame:
+def token_odds(known: DataFrame) -> np.ndarray:
+    """Log odds of block for each bucket, from rows (said, hashed). At most 2 * BUCKETS counts reach the driver."""
+    n = np.zeros((2, BUCKETS))
+    counts = known.select((F.col("said") == "block").cast("int").alias("k"), F.explode("hashed").alias("b")).groupBy("k", "b").count().toArrow()
+    n[counts.column("k").to_numpy(), counts.column("b").to_numpy()] += counts.column("count").to_numpy()
+    if not n.sum(axis=1).all():
+        return np.zeros(BUCKETS)
+    both = n.sum(axis=0) / n.sum()
+    share = (n + SMOOTH * both) / (n.sum(axis=1, keepdims=True) + SMOOTH)
+    seen = both > 0
+    return np.where(seen, np.log(np.where(seen, share[1], 1)) - np.log(np.where(seen, share[0], 1)), 0.0)
+
+
+def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, words (the host's), score (log odds of block).
 
-    Null urls and urls without :// have empty host and path and no tokens: the classes' shares
-    decide. Without a page that a rule judges the verdict is allow. Repeated rows are judged each by
+    Null urls and urls without :// have empty host and path and no tokens: their score is 0. A score of 0, and
+    every page where rules judge no page or all pages alike, is allowed. Repeated rows are judged each by
     itself; empty tables give empty results. Only page_id, url and html are read.
     """
     host, path = host_and_path(F.col("url"))
 
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rule, verdict = ruled(F.col("host"), F.col("path"))
+    rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = tokenized(rows.select("*", rule.alias("rule"), verdict.alias("said")), stored(word_counts(pages), "word-counts"))
     rows = stored(rows.withColumn("hashed", F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))), "url-tokens")
-    known = rows.filter("said IS NOT NULL")
-    weights, prior = np.ones((2, BUCKETS)), np.ones(2)
-    for r in known.groupBy("said").count().collect():
-        prior[int(r["said"] == "block")] += r["count"]
-    counts = known.select((F.col("said") == "block").cast("int").alias("k"), F.explode("hashed").alias("b")).groupBy("k", "b").count().toArrow()
-    weights[counts.column("k").to_numpy(), counts.column("b").to_numpy()] += counts.column("count").to_numpy()
-    odds = np.log(weights[1] / weights[1].sum()) - np.log(weights[0] / weights[0].sum())
-    start = float(np.log(prior[1] / prior[0]))
+    odds = token_odds(rows.filter("said IS NOT NULL"))
 
     @F.arrow_udf("double")
     def score(buckets: pa.Array) -> pa.Array:
         at = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy(zero_copy_only=False))
         flat = np.asarray(buckets.flatten())
-        return pa.array(start + np.bincount(at, odds[flat], minlength=len(buckets)))
+        return pa.array(np.bincount(at, odds[flat], minlength=len(buckets)))
 
     rows = rows.withColumn("score", F.round(score("hashed"), 9))
     words = F.transform(F.filter("tokens", lambda t: t.startswith("h:")), lambda t: F.substring(t, 3, 1 << 20))

@@ -1,7 +1,6 @@
 """The training-data operators on small tables: nulls, empty texts, ties, repeated rows, clashing columns, empty tables."""
 
 import collections
-import hashlib
 import zlib
 
 import pytest
@@ -166,7 +165,6 @@ def test_audio_round_trip(docs, none):
         text = dict((i, t) for i, t, _ in ROWS)[r["doc_id"]] or ""
         back = audio.samples_of(bytes(r["media"]))
         assert back.rstrip(b" ") == text.encode().rstrip(b" ") and len(back) % 192 == 0
-        assert r["payload_sha256"] == hashlib.sha256(back).hexdigest() and r["tail_crc32"] == zlib.crc32(back[-16:])
         assert all(len(t["log_mel"]) == audio.CHUNK * audio.MELS for t in r["tensors"])
     assert audio.audio(none).count() == 0
 
@@ -177,7 +175,7 @@ def test_fingerprints(docs, none, spark):
     same = {r["fingerprint"] for r in got if r["doc_id"] == 10}
     assert len(same) == 1
     prints = spark.createDataFrame([("0" * 32,), ("0" * 31 + "7",), ("f" * 32,), ("0" * 31 + "f",), (None,)], "fingerprint string")
-    pairs = {(r["a"], r["b"], r["distance"]) for r in simhash.near_fingerprints(prints).collect()}
+    pairs = {(r["query"], r["fingerprint"], r["distance"]) for r in simhash.near_fingerprints(prints, prints).collect() if r["query"] < r["fingerprint"]}
     assert pairs == {("0" * 32, "0" * 31 + "7", 3), ("0" * 31 + "7", "0" * 31 + "f", 1)}
     assert simhash.edits(none).count() == 0
 
