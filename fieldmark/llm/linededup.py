@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import SPACE, stored, table, tasks, whole_text
+from fieldmark.llm.common import SPACE, handed_back, stored, table, tasks, whole_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 1 << 18
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
 NO_HOLDER = -(1 << 63)
-PART = 512  # rows of a batch that are worked on at once
+PART = 256  # rows of a batch that are worked on at once
 
 
 def _mix(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
@@ -133,13 +133,14 @@ class Lines:
         both = np.frombuffer(b"".join(digest(k) for k in keys.filter(long).to_pylist()), "<u8").reshape(-1, 2)
         self.h1, self.h2 = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
-    def without(self, gone: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """The texts without the lines in `gone` (places in flat), and how many each lost."""
+    def without(self, gone: np.ndarray) -> pa.StructArray:
+        """The struct of RESULT: the texts without the lines in `gone` (places in flat), their numbers of lines, and how many each lost."""
         stay = np.ones(len(self.flat), bool)
         stay[gone] = False
         lost = np.bincount(self.of[gone], minlength=len(self.counts))
         offsets = pa.array(np.concatenate([[0], np.cumsum(self.counts - lost)]), pa.int64())
-        return pc.binary_join(pa.LargeListArray.from_arrays(offsets, self.flat.filter(pa.array(stay))), pa.scalar("\n", pa.large_string())).cast(pa.string()), lost
+        texts = pc.binary_join(pa.LargeListArray.from_arrays(offsets, self.flat.filter(pa.array(stay))), pa.scalar("\n", pa.large_string())).cast(pa.string())
+        return pa.StructArray.from_arrays([texts, pa.array(self.counts, pa.int64()), pa.array(lost, pa.int64())], FIELDS)
 
 
 def parts(batch: pa.RecordBatch):
@@ -159,6 +160,7 @@ def line_sums(rows: DataFrame, min_chars: int) -> DataFrame:
                 if len(first):
                     arrays = [seen.h1[first].view(np.int64), seen.h2[first].view(np.int64), np.diff(np.r_[first, len(seen)]), np.maximum.reduceat(ids[seen.row], first)]
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["h1", "h2", "n", "holder"])
+        handed_back()
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "h1 long, h2 long, n long, holder long")
 
@@ -178,19 +180,13 @@ def line_index(rows: DataFrame, min_chars: int, min_docs: int, shard_keys: int =
     return stored(dealt.groupBy("shard").applyInPandas(build, "shard long, shards long, payload binary"), "line-index")
 
 
+FIELDS = ["text", "n_lines", "n_dropped"]
 RESULT = "struct<text:string,n_lines:long,n_dropped:long>"
 
 
-def _result(pieces: list[tuple[Lines, np.ndarray]]) -> pa.Array:
-    """The struct of RESULT for the rows of some parts, given their lines and the places of those that go."""
-    texts, sizes, lost = [], [], []
-    for lines, gone in pieces:
-        text, n = lines.without(gone)
-        texts.append(text)
-        sizes.append(lines.counts)
-        lost.append(n)
-    columns = [pa.concat_arrays(texts), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(lost), pa.int64())] if pieces else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())]
-    return pa.StructArray.from_arrays(columns, ["text", "n_lines", "n_dropped"])
+def _result(pieces: list[pa.StructArray]) -> pa.Array:
+    handed_back()
+    return pa.concat_arrays(pieces) if pieces else pa.StructArray.from_arrays([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())], FIELDS)
 
 
 def _by_broadcast(rows: DataFrame, index: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
@@ -212,7 +208,7 @@ def _by_broadcast(rows: DataFrame, index: DataFrame, min_chars: int, min_docs: i
                         opened[s] = Shard.unpack(shared.value[s])
                     at = np.flatnonzero(shard == s)
                     gone[at] = opened[s].dropped(lines.h1[at], lines.h2[at], holder[at], min_docs)
-            pieces.append((lines, lines.at[gone]))
+            pieces.append(lines.without(lines.at[gone]))
         return _result(pieces)
 
     return rows.withColumn("out", cleaned("text", F.col("doc_id").cast("long")))
@@ -274,7 +270,7 @@ def _by_routing(rows: DataFrame, index: DataFrame, min_chars: int, min_docs: int
                     known = {(x["h1"], x["h2"]) for x in known.as_py()}
                     lo, hi = np.searchsorted(of, [row, row + 1])
                     gone += [i for i in range(lo, hi) if (lines.h1[i].view(np.int64), lines.h2[i].view(np.int64)) in known]
-            pieces.append((lines, lines.at[gone]))
+            pieces.append(lines.without(lines.at[gone]))
         return _result(pieces)
 
     out = rows.join(hits, rows["doc_id"].cast("long").eqNullSafe(hits["doc"]), "left")

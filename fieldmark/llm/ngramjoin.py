@@ -10,7 +10,9 @@ Links are all pairs of texts whose sets of 5-word shingles have a Jaccard likene
 3. A tile holds the classes that lead with one shingle and whose sizes fall into one band (factor
    1.25). Rounds of stars come first: each tile ties its members to one of them that differs from
    round to round, and only members that aren't yet in the same component, so copies of a group
-   never meet pair by pair. A last, complete round pairs what still stands in different components
+   never meet pair by pair. While tiles of at least CROWD members hold several components, further rounds
+   tie each of their members, in its fullest tile, to PIVOTS others: copies of copies that are only partly
+   alike enough grow together there. A last, complete round pairs what still stands in different components
    in the tiles of a shingle, over all bands that are near enough in size.
    Positions count as well: before the first shingle that two sets share in that order, they share
    none, so they share at most the lesser of what follows; pairs for whom that is too little don't meet.
@@ -24,17 +26,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from fieldmark.llm.common import stored, table, whole_text
+from fieldmark.llm.common import handed_back, stored, table, whole_text
 from fieldmark.operators.graph import components
 
 WORDS, NUM, DEN = 5, 4, 5  # 0.8 as a fraction
-SKETCH_BITS, SLICES = 20, 64
-FILTER_BITS = 24
+#: Least and largest size of the sketch, as a power of two: it grows with the text, within what a task and the driver hold with ease.
+SKETCH_BITS, SLICES = (20, 23), 64
+FILTER_BITS = (24, 26)  # of the filter of ids, the same way
 STARS = 1
+CROWD, PIVOTS, MOST_ROUNDS = 64, 64, 2
 MULT, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CACHE = 100_000  # words whose hashes a task remembers
 PART = 512  # rows of a batch that a task works on at once
@@ -76,26 +81,35 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def folded(bits: bytes, size: int) -> bytes:
-    """A bitmap halved, by OR of its halves, until it has `size` bytes: the bitmap of the same set at that size."""
-    x = np.frombuffer(bits, np.uint64)
-    while 8 * len(x) > size:
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    return x.tobytes()
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap halved, by OR of its halves, until it has `size` words: the bitmap of the same set at that size."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
 
 
-def differing(left: list[bytes], right: list[bytes]) -> np.ndarray:
+def differing(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Bits in which pairs of bitmaps differ, at the smaller one's size."""
     if not left:
         return np.zeros(0, np.int64)
     for i, (x, y) in enumerate(zip(left, right)):
         if len(x) != len(y):
             left[i], right[i] = folded(x, len(y)), folded(y, len(x))
-    words = np.bitwise_count(np.frombuffer(b"".join(left), np.uint64) ^ np.frombuffer(b"".join(right), np.uint64)).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum([len(x) // 8 for x in left])[:-1]])
+    words = np.bitwise_count(np.concatenate(left) ^ np.concatenate(right)).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in left])[:-1]])
     return np.add.reduceat(words, starts)
 
 
+def each_array(lists: pa.Array) -> list[np.ndarray]:
+    flat, ends = np.asarray(lists.flatten()).view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
+def array_lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
 def lead(n: int) -> int:
     """How many of a set's n shingles must hold one that any set alike enough has too."""
     return n - -(-NUM * n // DEN) + 1
@@ -108,24 +122,26 @@ def levels(total: np.ndarray, mean: float) -> np.ndarray:
 
 
 def fullness(docs: DataFrame) -> np.ndarray:
-    """The level of each of 2^SKETCH_BITS hash buckets of shingles.
+    """The level of each of 2^20 to 2^23 hash buckets of shingles, one for about a kilobyte of text.
 
     Tasks count their part of the documents, Spark adds the counts slice by slice; the driver gets
-    one byte a bucket (1 MB). A wrong level only changes the order in which shingles lead.
+    one byte a bucket (8 MB at the most). A wrong level only changes the order in which shingles lead.
     """
-    size = (1 << SKETCH_BITS) // SLICES
+    amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sketch = min(SKETCH_BITS[1], max(SKETCH_BITS[0], (amount >> 10).bit_length()))
+    size = (1 << sketch) // SLICES
 
     def count(batches):
-        sets, total = Shingler(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        sets, total = Shingler(), np.zeros(1 << sketch, np.uint32)
         for batch in batches:
             for first in range(0, batch.num_rows, PART):
                 found = np.concatenate([sets.hashes(text.as_py()) for text in batch.column("text").slice(first, PART)])
-                total += np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                total += np.bincount((found >> np.uint64(64 - sketch)).astype(np.int64), minlength=1 << sketch).astype(np.uint32)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(SLICES, size)], pa.binary()), pa.array(total.reshape(SLICES, size).sum(axis=1, dtype=np.int64))], names=["slice", "counts", "n"])
 
     parts = stored(docs.mapInArrow(count, "slice int, counts binary, n long"), "shingle-counts")
-    mean = (parts.agg(F.sum("n")).first()[0] or 0) / (1 << SKETCH_BITS)
+    mean = (parts.agg(F.sum("n")).first()[0] or 0) / (1 << sketch)
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size, np.int64)
@@ -141,7 +157,7 @@ def fullness(docs: DataFrame) -> np.ndarray:
 
 def led(docs: DataFrame, full: np.ndarray) -> DataFrame:
     """doc_id, n, k (128-bit hash of the set), bits (its bitmap), lead: array of the leading shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(full)
+    shared, shift = docs.sparkSession.sparkContext.broadcast(full), np.uint64(64 - (len(full).bit_length() - 1))
 
     def work(batches):
         sets, level = Shingler(), shared.value
@@ -150,16 +166,15 @@ def led(docs: DataFrame, full: np.ndarray) -> DataFrame:
                 part, n, k, bits, leads = batch.slice(first, PART), [], [], [], []
                 for text in part.column("text"):
                     s = sets(text.as_py())
-                    order = np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                    order = np.argsort(level[(s >> shift).astype(np.int64)], kind="stable")
                     n.append(len(s))
                     k.append(xxh3_128_digest(s.tobytes()))
-                    bits.append(bitmap(s).tobytes())
+                    bits.append(bitmap(s))
                     leads.append(s[order[: lead(len(s))]].view(np.int64) if len(s) else s.view(np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in leads])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(leads)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(bits, pa.binary()), lists], names=["doc_id", "n", "k", "bits", "lead"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k, pa.binary()), array_lists(bits), array_lists(leads)], names=["doc_id", "n", "k", "bits", "lead"])
+        handed_back()
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, k binary, bits binary, lead array<long>")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, k binary, bits array<long>, lead array<long>")
 
 
 def tiles(reps: DataFrame) -> DataFrame:
@@ -202,7 +217,7 @@ def linked(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
     @F.arrow_udf("boolean")
     def may(n1: pa.Array, n2: pa.Array, b1: pa.Array, b2: pa.Array) -> pa.Array:
         n = np.asarray(n1) + np.asarray(n2)
-        most = (n - differing(b1.to_pylist(), b2.to_pylist())) // 2
+        most = (n - differing(each_array(b1), each_array(b2))) // 2
         return pa.array((DEN + NUM) * most >= NUM * n)
 
     @F.arrow_udf("boolean")
@@ -221,13 +236,14 @@ def linked(pairs: DataFrame, docs: DataFrame, facts: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, members: the sets of the documents with these ids, and of a few others, from their texts.
 
-    The ids go to the scan as a hashed bitmap of 2^FILTER_BITS bits (2 MB, whatever their number), so
+    The ids go to the scan as a hashed bitmap of 2^24 to 2^26 bits (8 MB at the most), so
     no text is shuffled. Bits that two ids share only bring sets that nothing asks for.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], (8 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << size))
     set_bits = ids.withColumn("place", place).selectExpr("cast(place div 32 AS int) AS word", "shiftleft(1L, cast(place % 32 AS int)) AS bit")
     found = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros((1 << FILTER_BITS) // 32, np.uint32)
+    words = np.zeros((1 << size) // 32, np.uint32)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -243,38 +259,91 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").withColumn("place", place).mapInArrow(work, "id long, members binary")
 
 
+def labelled(tile: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of tiles whose members are in several components (labels: id, component; others are their own)."""
+    if labels is None:
+        return tile.withColumn("label", F.col("id"))
+    label = labels.select(F.col("id").alias("lid"), "component")
+    rows = tile.join(label, F.col("id") == F.col("lid"), "left").select("sh", "id", "n", "rest", F.coalesce("component", "id").alias("label"))
+    mixed = rows.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("sh").alias("msh"))
+    return rows.join(mixed, F.col("sh") == F.col("msh"), "left_semi")
+
+
+def _both(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"o{c}") for c in rows.columns])
+
+
+def _size(n: str = "n", m: str = "on") -> Column:
+    return (DEN * F.col(n) >= NUM * F.col(m)) & (DEN * F.col(m) >= NUM * F.col(n))
+
+
+def _may() -> Column:
+    """The bitmaps' bound of step 4, for bitmaps of one size; others are compared later."""
+    off = F.aggregate(F.zip_with("bits", "obits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both = F.floor((F.col("n") + F.col("on") - off) / 2)
+    return (F.size("bits") != F.size("obits")) | ((DEN + NUM) * both >= NUM * (F.col("n") + F.col("on")))
+
+
+def _enough() -> Column:
+    """Whether two sets share enough if the tile's shingle is the first that they share."""
+    return (DEN + NUM) * F.least("rest", "orest") >= NUM * (F.col("n") + F.col("on"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct()
+
+
+def starred(rows: DataFrame) -> DataFrame:
+    """Pairs of each tile's members, by band of sizes, with the least of them."""
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int"))
+    pivot = rows.groupBy("sh", "band").agg(F.min_by(F.struct("id", "label", "n", "rest"), F.col("id")).alias("p")).select("sh", "band", "p.*")
+    return _pairs(rows.join(_both(pivot), (F.col("sh") == F.col("osh")) & (F.col("band") == F.col("oband")) & (F.col("label") != F.col("olabel")) & _enough()))
+
+
+def crowded(rows: DataFrame) -> DataFrame:
+    """sh, id, n, label: each member of a tile with at least CROWD rows, in the fullest of its tiles."""
+    full = rows.groupBy("sh").agg(F.count("*").alias("rows")).filter(F.col("rows") >= CROWD).select(F.col("sh").alias("fsh"), "rows")
+    return rows.join(full, F.col("sh") == F.col("fsh")).groupBy("id").agg(F.max_by(F.struct("sh", "n", "label"), F.struct("rows", "sh")).alias("m")).select("m.sh", "id", "m.n", "m.label")
+
+
+def spread(rows: DataFrame, r: int) -> DataFrame:
+    """Pairs of each tile's members with PIVOTS of them, others in each round."""
+    place = F.row_number().over(W.partitionBy("sh").orderBy(F.xxhash64("id", F.lit(r)), "id"))
+    pivots = rows.withColumn("place", place).filter(F.col("place") <= PIVOTS).drop("place")
+    return _pairs(rows.join(_both(pivots), (F.col("sh") == F.col("osh")) & (F.col("label") != F.col("olabel")) & _size() & _may()))
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """All pairs of different components that share a leading shingle and may be alike enough."""
+    return _pairs(rows.join(_both(rows), (F.col("sh") == F.col("osh")) & (F.col("n") <= F.col("on")) & _size() & (F.col("label") != F.col("olabel")) & _enough() & _may()))
+
+
 def links(docs: DataFrame, reps: DataFrame, facts: DataFrame, stars: int = STARS) -> DataFrame:
-    """a, b: links that join the classes (reps: id, n, lead) into the same components as all links do."""
-    tile = stored(tiles(reps), "tiles")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    found, labels, tried = None, None, None
-    enough = lambda n, m, r, s: (DEN + NUM) * F.least(r, s) >= NUM * (F.col(n) + F.col(m))
-    for r in range(stars + 1):
-        rows = tile
-        if labels is not None:
-            label = labels.select(F.col("id").alias("lid"), "component")
-            rows = tile.join(label, F.col("id") == F.col("lid"), "left").select("sh", "id", "n", "rest", F.coalesce("component", "id").alias("label"))
-            mixed = rows.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("sh").alias("msh"))
-            rows = rows.join(mixed, F.col("sh") == F.col("msh"), "left_semi")
-        else:
-            rows = rows.withColumn("label", F.col("id"))
-        if r < stars:
-            rows = rows.withColumn("band", band)
-            pivot = rows.groupBy("sh", "band").agg(F.min_by(F.struct("id", "label", "n", "rest"), F.struct(F.xxhash64("label", F.lit(r)) if r else F.col("id"), F.col("id"))).alias("p"))
-            pivot = pivot.select(F.col("sh").alias("psh"), F.col("band").alias("pband"), F.col("p.id").alias("pid"), F.col("p.label").alias("plabel"), F.col("p.n").alias("pn"), F.col("p.rest").alias("prest"))
-            met = rows.join(pivot, (F.col("sh") == F.col("psh")) & (F.col("band") == F.col("pband")) & (F.col("label") != F.col("plabel")) & enough("n", "pn", "rest", "prest"))
-            pairs = met.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-        else:
-            other = rows.select(F.col("sh").alias("osh"), F.col("id").alias("oid"), F.col("n").alias("on"), F.col("rest").alias("orest"), F.col("label").alias("olabel"))
-            near = (F.col("n") <= F.col("on")) & (DEN * F.col("n") >= NUM * F.col("on")) & (F.col("label") != F.col("olabel")) & enough("n", "on", "rest", "orest")
-            met = rows.join(other, (F.col("sh") == F.col("osh")) & near)
-            pairs = met.select(F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")).distinct()
+    """a, b: links that join the classes (reps: id, n, lead, bits) into the same components as all links do."""
+    tile, bits = stored(tiles(reps), "tiles"), reps.select(F.col("id").alias("rid"), "bits")
+    found = tried = None
+    with_bits = lambda rows: rows.join(bits, F.col("id") == F.col("rid")).drop("rid")
+
+    def settle(pairs: DataFrame) -> int:
+        """Adds the links among the pairs to `found`; how many are new."""
+        nonlocal found, tried
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = stored(linked(pairs, docs, facts), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = new if found is None else found.unionByName(new)
-        if r < stars:
-            labels = components(found, "a", "b")
+        return new.count()
+
+    rows = labelled(tile, None)
+    if stars:
+        settle(starred(rows))
+        for r in range(MOST_ROUNDS):
+            rows = stored(labelled(tile, components(found, "a", "b")), "mixed")
+            crowd = stored(crowded(rows), "crowded")
+            if crowd.isEmpty() or not settle(spread(with_bits(crowd), r)):
+                break
+        else:
+            rows = stored(labelled(tile, components(found, "a", "b")), "mixed")
+    settle(complete(with_bits(rows)))
     return found
 
 
@@ -289,8 +358,8 @@ def near_duplicates(docs: DataFrame, stars: int = STARS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     full = stored(led(rows, fullness(rows.select("text"))), "led")
     some = full.filter("n > 0")
-    reps = some.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("lead").alias("lead")).filter("id IS NOT NULL")
-    groups = components(links(rows.filter("doc_id IS NOT NULL"), reps.select("id", "n", "lead"), some.select(F.col("doc_id").alias("id"), "n", "bits"), stars).unionByName(_repeats(some)), "a", "b")
+    reps = some.groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("bits").alias("bits")).filter("id IS NOT NULL")
+    groups = components(links(rows.filter("doc_id IS NOT NULL"), reps, some.select(F.col("doc_id").alias("id"), "n", "bits"), stars).unionByName(_repeats(some)), "a", "b")
     classes = some.groupBy("k").agg(F.min("doc_id").alias("rep"))
     named = classes.join(groups, classes["rep"] == groups["id"], "left").select(F.col("k").alias("ck"), F.coalesce("component", "rep").alias("component"))
     out = full.select("doc_id", "n", F.when(F.col("n") > 0, F.col("k")).alias("k")).join(named, F.col("k") == F.col("ck"), "left")

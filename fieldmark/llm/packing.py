@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from fieldmark.llm.common import stored, table, whole_text
 
 SIZE, END_ID, SLACK, GROUP, FAN_IN = 4096, 1, 64, 20_000, 8
-CACHE = 400_000
+CACHE = 100_000
 # Fixed values, of the vocabulary file: how it cuts lower-cased text into pieces that it tokenises each by itself,
 # for texts of Latin-1 characters only (\p{L}, \p{N} and \s written out for those).
 LETTER, NUMBER, BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\r\x0b\x0c\x85\xa0"

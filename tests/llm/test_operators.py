@@ -223,3 +223,29 @@ def test_urls_split_by_exact_counts(spark):
     assert got[1] == got[2] == ["heron", "marsh", "net"] and got[3] == [] and got[4][0] == "bala" and got[4][-2:] == ["bala", "org"]
     counts = {r["word"]: r["n"] for r in urls.word_counts(spark.createDataFrame([(html + " " + "z" * 30,)], "html string")).collect()}
     assert counts["heron"] == 1 and counts["bala"] == 200 and counts[""] == 1
+
+
+def test_groups_of_copies_that_are_only_partly_alike_enough(spark, monkeypatch):
+    """Rounds with several pivots, on tiles that are larger than CROWD."""
+    import random
+
+    monkeypatch.setattr(ngramjoin, "CROWD", 8)
+    monkeypatch.setattr(ngramjoin, "PIVOTS", 3)
+    rng = random.Random(12)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(90)]
+        for _ in range(50):
+            w = list(base)
+            for at in rng.sample(range(90), 2):
+                w[at] = f"x{rng.randrange(10**6)}"
+            texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 80 * len(a | b)]
+    root = list(range(len(texts)))
+    for _ in root:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 100 < len(links) < 3 * 50 * 49 / 2 * 0.9
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in ngramjoin.near_duplicates(rows).collect()} == set(enumerate(root))
