@@ -234,10 +234,10 @@ def test_groups_of_copies_that_are_only_partly_alike_enough(spark, monkeypatch):
     rng = random.Random(12)
     texts = []
     for g in range(3):
-        base = [f"g{g}w{k}" for k in range(90)]
+        base = [f"g{g}w{k}" for k in range(93)]
         for _ in range(50):
             w = list(base)
-            for at in rng.sample(range(90), 2):
+            for at in rng.sample(range(93), 1):
                 w[at] = f"x{rng.randrange(10**6)}"
             texts.append(w)
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
