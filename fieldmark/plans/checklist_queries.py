@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions.season import band, haversine_m, recency, season_week
 from fieldmark.operators.core import absorbing_sum, beta_binomial, ece, eligible, first_by, islands, kernel, smoothed, top_k, unseen, weighted_quantile
 from fieldmark.operators.graph import components
+from fieldmark.operators.places import cell
 from fieldmark.sources.tables import BINDING, checklists, observations, observers, table, taxa
 
 QUERIES, SQL = {}, {}
@@ -105,23 +106,22 @@ def rare_hits(spark, d):
     return seen.join(base, "taxon").select("day", "taxon", "baseline")
 
 
-@query("""WITH mine AS (SELECT DISTINCT city, taxon, name FROM cl JOIN ob USING (report_id) JOIN pp USING (observer) JOIN tx USING (taxon) WHERE day >= DATE '2001-07-26')
-SELECT c.city, t.taxon, t.name FROM tx t, (SELECT DISTINCT city FROM pp) c
-WHERE NOT EXISTS (SELECT 1 FROM mine m WHERE m.city = c.city AND m.taxon = t.taxon) AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.city = c.city AND m.name = t.name)""")
+@query("""WITH mine AS (SELECT DISTINCT point, taxon, name FROM cl JOIN ob USING (report_id) JOIN pp USING (observer) JOIN tx USING (taxon))
+SELECT c.point, t.taxon, t.name FROM tx t, (SELECT DISTINCT point FROM pp) c
+WHERE NOT EXISTS (SELECT 1 FROM mine m WHERE m.point = c.point AND m.taxon = t.taxon) AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.point = c.point AND m.name = t.name)""")
 def missing_taxa(spark, d):
-    """Catalogue taxa that no observer of a city has seen in the last week, neither by key nor by name. Cities are a dimension (nations)."""
-    mine = checklists(spark, d).filter(F.col("day") >= "2001-07-26").join(observations(spark, d), "report_id").join(observers(spark, d).select("observer", "city"), "observer").select("city", "taxon").distinct()
+    """Catalogue taxa that nobody has ever seen at a point, neither by key nor by name. Points are a dimension: the catalogue of each is what the answer is about."""
+    mine = checklists(spark, d).join(observations(spark, d), "report_id").join(observers(spark, d).select("observer", "point"), "observer").select("point", "taxon").distinct()
     mine = mine.join(taxa(spark, d).select("taxon", "name"), "taxon")
-    cities = observers(spark, d).agg(F.collect_set("city").alias("cities"))
-    catalogue = taxa(spark, d).select("taxon", "name").crossJoin(F.broadcast(cities)).select(F.explode("cities").alias("city"), "taxon", "name")
-    return unseen(catalogue, mine, ["city", "taxon"], ["city", "name"]).select("city", "taxon", "name")
+    catalogue = taxa(spark, d).select("taxon", "name").crossJoin(observers(spark, d).select("point").distinct())
+    return unseen(catalogue, mine, ["point", "taxon"], ["point", "name"]).select("point", "taxon", "name")
 
 
-@query("""WITH h AS (SELECT DISTINCT day, taxon FROM cl JOIN ob USING (report_id) WHERE n >= 45)
+@query("""WITH h AS (SELECT DISTINCT day, taxon FROM cl JOIN ob USING (report_id))
 SELECT strftime(day, '%Y-%m-%d') AS day, taxon FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.taxon = h.taxon AND o.day < h.day AND o.day >= h.day - 365)""")
 def new_notifications(spark, d):
-    """Large counts of a taxon that none in the year before has announced."""
-    h = checklists(spark, d).join(observations(spark, d).filter("n >= 45"), "report_id").select("day", "taxon").distinct()
+    """Days on which a taxon was reported that had not been in the year before."""
+    h = checklists(spark, d).join(observations(spark, d), "report_id").select("day", "taxon").distinct()
     before = F.max("day").over(W.partitionBy("taxon").orderBy("day").rowsBetween(W.unboundedPreceding, -1))
     return h.withColumn("before", before).filter("before IS NULL OR before < date_sub(day, 365)").select(day("day").alias("day"), "taxon")
 
@@ -242,19 +242,21 @@ def weighted_q90(spark, d):
 @query("""WITH b AS (SELECT city, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM pp GROUP BY city), j AS (SELECT observer, b.city AS box, row_number() OVER (PARTITION BY observer ORDER BY (e - w) * (n - s), b.city) AS k FROM pp JOIN b ON lon BETWEEN w AND e AND lat BETWEEN s AND n)
 SELECT observer, box FROM j WHERE k = 1""")
 def smallest_box(spark, d):
-    """Each point's smallest covering box. There is a box for each city: a dimension, kept by a size check of Spark's own."""
+    """Each point's smallest covering box. Boxes are dealt to the cells of a degree that they reach into, and meet the points of a cell by an equi join."""
     p = observers(spark, d)
     b = p.groupBy(F.col("city").alias("box")).agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
-    j = p.join(b, F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
+    reach = lambda lo, hi: F.explode(F.sequence(F.floor(lo), F.floor(hi)))
+    b = b.withColumn("x", reach("w", "e")).withColumn("y", reach("s", "n"))
+    j = p.select("observer", "lon", "lat", *cell(1)).join(b, ["x", "y"]).filter(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
     return first_by(j, ["observer"], (F.col("e") - F.col("w")) * (F.col("n") - F.col("s")), F.col("box")).select("observer", "box")
 
 
-@query("""WITH c AS (SELECT DISTINCT taxon, day FROM cl JOIN ob USING (report_id) WHERE n >= 30), g AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY taxon ORDER BY day) <= 30 THEN 0 ELSE 1 END AS fresh FROM c),
+@query("""WITH c AS (SELECT DISTINCT taxon, day FROM cl JOIN ob USING (report_id)), g AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY taxon ORDER BY day) <= 30 THEN 0 ELSE 1 END AS fresh FROM c),
 e AS (SELECT *, sum(fresh) OVER (PARTITION BY taxon ORDER BY day) AS e FROM g)
 SELECT taxon, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day, count(*) AS days FROM e GROUP BY taxon, e""")
 def occurrence_events(spark, d):
     """Days of a taxon that chain with gaps of at most 30 days: one event each. Links go through components."""
-    rows = checklists(spark, d).join(observations(spark, d).filter("n >= 30"), "report_id").select("taxon", "day").distinct()
+    rows = checklists(spark, d).join(observations(spark, d), "report_id").select("taxon", "day").distinct()
     rows = rows.withColumn("id", F.col("taxon") * 100_000 + F.datediff("day", F.lit("1990-01-01")))
     w = W.partitionBy("taxon").orderBy("day")
     links = rows.withColumns({"before": F.lag("id").over(w), "gap": F.datediff("day", F.lag("day").over(w))}).filter("gap <= 30").select("id", "before")
