@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from fieldmark.sources.shared import kept
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+FEW = 100_000  # edges, at the most, that one task works on as they are
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """Edges (a > b). Large star: every larger neighbour of a node is tied to the least of the node and its
     neighbours; small star: the same for its smaller ones. The least is a partial aggregate joined
-    back, so a hub's edges meet in no single task (a skewed join can be split)."""
+    back, so a hub's edges meet in no single task (a skewed join can be split). Few edges (at most FEW) stay in
+    one task without any shuffle."""
+    together = (lambda d: d.coalesce(1)) if few else (lambda d: d)
     if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = together(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).select(F.col("a").alias("u"), "m")
         out = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         tied = edges.join(least, F.col("a") == F.col("u"))
         out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return together(out.filter("a <> b")).distinct()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -30,7 +35,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     before = mark(edges)
     while before["n"]:
-        edges = kept(_star(_star(edges, True), False), "components")
+        few = before["n"] <= FEW
+        edges = kept(_star(_star(edges, True, few), False, few), "components")
         now = mark(edges)
         if now == before:
             break
