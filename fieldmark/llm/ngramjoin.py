@@ -10,9 +10,9 @@ Links are all pairs of texts whose sets of 5-word shingles have a Jaccard likene
 3. A tile holds the classes that lead with one shingle and whose sizes fall into one band (factor
    1.25). Rounds of stars come first: each tile ties its members to one of them that differs from
    round to round, and only members that aren't yet in the same component, so copies of a group
-   never meet pair by pair. While tiles of at least CROWD members hold several components, further rounds
-   tie each of their members, in its fullest tile, to PIVOTS others: copies of copies that are only partly
-   alike enough grow together there. A last, complete round pairs what still stands in different components
+   never meet pair by pair. Where a tile still has CROWD members in several components, a second round ties
+   each of them, in its fullest tile, to PIVOTS others: copies that are only partly alike enough grow
+   together there. A last, complete round pairs what still stands in different components
    in the tiles of a shingle, over all bands that are near enough in size.
    Positions count as well: before the first shingle that two sets share in that order, they share
    none, so they share at most the lesser of what follows; pairs for whom that is too little don't meet.
@@ -39,7 +39,7 @@ WORDS, NUM, DEN = 5, 4, 5  # 0.8 as a fraction
 SKETCH_BITS, SLICES = (20, 23), 64
 FILTER_BITS = (24, 26)  # of the filter of ids, the same way
 STARS = 1
-CROWD, PIVOTS, MOST_ROUNDS = 64, 64, 2
+CROWD, PIVOTS = 64, 64
 MULT, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CACHE = 100_000  # words whose hashes a task remembers
 PART = 512  # rows of a batch that a task works on at once
@@ -306,9 +306,15 @@ def crowded(rows: DataFrame) -> DataFrame:
     return rows.join(full, F.col("sh") == F.col("fsh")).groupBy("id").agg(F.max_by(F.struct("sh", "n", "label"), F.struct("rows", "sh")).alias("m")).select("m.sh", "id", "m.n", "m.label")
 
 
-def spread(rows: DataFrame, r: int) -> DataFrame:
-    """Pairs of each tile's members with PIVOTS of them, others in each round."""
-    place = F.row_number().over(W.partitionBy("sh").orderBy(F.xxhash64("id", F.lit(r)), "id"))
+def least_linked(links: DataFrame) -> DataFrame:
+    """id, component: the least of an id and those it is linked with. Ids that have the same are in one component; a cheap stand-in for it."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Pairs of each tile's members with PIVOTS of them, drawn by a hash."""
+    place = F.row_number().over(W.partitionBy("sh").orderBy(F.xxhash64("id"), "id"))
     pivots = rows.withColumn("place", place).filter(F.col("place") <= PIVOTS).drop("place")
     return _pairs(rows.join(_both(pivots), (F.col("sh") == F.col("osh")) & (F.col("label") != F.col("olabel")) & _size() & _may()))
 
@@ -336,13 +342,10 @@ def links(docs: DataFrame, reps: DataFrame, facts: DataFrame, stars: int = STARS
     rows = labelled(tile, None)
     if stars:
         settle(starred(rows))
-        for r in range(MOST_ROUNDS):
-            rows = stored(labelled(tile, components(found, "a", "b")), "mixed")
-            crowd = stored(crowded(rows), "crowded")
-            if crowd.isEmpty() or not settle(spread(with_bits(crowd), r)):
-                break
-        else:
-            rows = stored(labelled(tile, components(found, "a", "b")), "mixed")
+        crowd = stored(crowded(labelled(tile, least_linked(found))), "crowded")
+        if not crowd.isEmpty():
+            settle(spread(with_bits(crowd)))
+        rows = stored(labelled(tile, components(found, "a", "b")), "mixed")
     settle(complete(with_bits(rows)))
     return found
 
