@@ -114,13 +114,13 @@ def habitat_class(spark, d):
 
 
 @query(f"""WITH {FRACTIONS_SQL}, rg AS (SELECT a.x, a.y, {', '.join(f'sum(b.coverage * b.f{c}) / sum(b.coverage) AS r{c}' for c in range(11))} FROM fr a JOIN fr b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND b.coverage > 0 GROUP BY a.x, a.y)
-SELECT x, y, round(r1, 6) AS forest, round(r5, 6) AS urban, round(-({' + '.join(f'CASE WHEN r{c} > 0 THEN r{c} * ln(r{c}) ELSE 0 END' for c in range(11))}) / ln(11), 6) AS entropy FROM rg""")
+SELECT x, y, round(r1, 6) AS forest, round(r5, 6) AS urban, round(-({' + '.join(f'CASE WHEN r{c} > 0 THEN r{c} * ln(r{c}) ELSE 0 END' for c in range(11))}) / ln(11), 6) + 0.0 AS entropy FROM rg""")
 def ring_composition(spark, d):
     """Land cover of each cell and its ring, weighted by coverage, and how mixed it is (entropy, 1: all classes alike). Cells hand their sums to their neighbours."""
     f = fractions(spark, d)
     given = ring(f.filter("coverage > 0")).groupBy("x", "y").agg(*[(F.sum(F.col("coverage") * F.col(f"f{c}")) / F.sum("coverage")).alias(f"r{c}") for c in range(11)])
     entropy = -sum((F.when(F.col(f"r{c}") > 0, F.col(f"r{c}") * F.log(F.col(f"r{c}"))).otherwise(0.0) for c in range(11)), F.lit(0.0)) / F.log(F.lit(11.0))
-    return given.join(f.select("x", "y"), ["x", "y"], "left_semi").select("x", "y", F.round("r1", 6).alias("forest"), F.round("r5", 6).alias("urban"), F.round(entropy, 6).alias("entropy"))
+    return given.join(f.select("x", "y"), ["x", "y"], "left_semi").select("x", "y", F.round("r1", 6).alias("forest"), F.round("r5", 6).alias("urban"), (F.round(entropy, 6) + 0.0).alias("entropy"))
 
 
 TERRAIN_SQL = f"{PIXELS_SQL}, te AS (SELECT x, y, count(*) AS samples, avg(height) AS mean, stddev_pop(height) AS spread FROM px GROUP BY x, y)"
