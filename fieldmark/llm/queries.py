@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fieldmark.llm.audio import op1_audio
 from fieldmark.llm.linededup import OP2_SQL, op2_line_dedup
+from fieldmark.llm.merkle import OP13_SQL, op13_merkle
 from fieldmark.llm.mixing import op3_mixing
 from fieldmark.llm.ngramjoin import op5_ngram_join
 from fieldmark.llm.packing import op9_packing
@@ -15,9 +16,9 @@ from fieldmark.llm.urls import op8_urls
 
 
 def queries() -> dict:
-    found = (op1_audio, op2_line_dedup, op3_mixing, op4_personal_data, op5_ngram_join, op6_secrets, op7_toxicity, op8_urls, op9_packing, op10_fingerprints)
+    found = (op1_audio, op2_line_dedup, op3_mixing, op4_personal_data, op5_ngram_join, op6_secrets, op7_toxicity, op8_urls, op9_packing, op10_fingerprints, op13_merkle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op13_merkle": OP13_SQL}
