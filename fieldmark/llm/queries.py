@@ -13,12 +13,13 @@ from fieldmark.llm.secrets import op6_secrets
 from fieldmark.llm.simhash import op10_fingerprints
 from fieldmark.llm.toxicity import op7_toxicity
 from fieldmark.llm.urls import op8_urls
+from fieldmark.llm.variants import OP11_SQL, op11_variants
 
 
 def queries() -> dict:
-    found = (op1_audio, op2_line_dedup, op3_mixing, op4_personal_data, op5_ngram_join, op6_secrets, op7_toxicity, op8_urls, op9_packing, op10_fingerprints, op13_merkle)
+    found = (op1_audio, op2_line_dedup, op3_mixing, op4_personal_data, op5_ngram_join, op6_secrets, op7_toxicity, op8_urls, op9_packing, op10_fingerprints, op11_variants, op13_merkle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op13_merkle": OP13_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op11_variants": OP11_SQL, "op13_merkle": OP13_SQL}
