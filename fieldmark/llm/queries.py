@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fieldmark.llm.audio import op1_audio
+from fieldmark.llm.language import op12_language
 from fieldmark.llm.linededup import OP2_SQL, op2_line_dedup
 from fieldmark.llm.merkle import OP13_SQL, op13_merkle
 from fieldmark.llm.mixing import op3_mixing
@@ -17,7 +18,7 @@ from fieldmark.llm.variants import OP11_SQL, op11_variants
 
 
 def queries() -> dict:
-    found = (op1_audio, op2_line_dedup, op3_mixing, op4_personal_data, op5_ngram_join, op6_secrets, op7_toxicity, op8_urls, op9_packing, op10_fingerprints, op11_variants, op13_merkle)
+    found = (op1_audio, op2_line_dedup, op3_mixing, op4_personal_data, op5_ngram_join, op6_secrets, op7_toxicity, op8_urls, op9_packing, op10_fingerprints, op11_variants, op12_language, op13_merkle)
     return {f.__name__: f for f in found}
 
 
