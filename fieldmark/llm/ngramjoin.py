@@ -39,7 +39,7 @@ WORDS, NUM, DEN = 5, 4, 5  # 0.8 as a fraction
 SKETCH_BITS, SLICES = (20, 23), 64
 FILTER_BITS = (24, 26)  # of the filter of ids, the same way
 STARS = 1
-CROWD, PIVOTS = 64, 64
+CROWD, PIVOTS, FEW = 64, 64, 12
 MULT, FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CACHE = 100_000  # words whose hashes a task remembers
 PART = 512  # rows of a batch that a task works on at once
@@ -259,14 +259,12 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), "text").withColumn("place", place).mapInArrow(work, "id long, members binary")
 
 
-def labelled(tile: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of tiles whose members are in several components (labels: id, component; others are their own)."""
-    if labels is None:
-        return tile.withColumn("label", F.col("id"))
+def labelled(tile: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of tiles whose members are in several components (labels: id, component; others are their own), with how many members a tile has."""
     label = labels.select(F.col("id").alias("lid"), "component")
     rows = tile.join(label, F.col("id") == F.col("lid"), "left").select("sh", "id", "n", "rest", F.coalesce("component", "id").alias("label"))
-    mixed = rows.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("sh").alias("msh"))
-    return rows.join(mixed, F.col("sh") == F.col("msh"), "left_semi")
+    mixed = rows.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select(F.col("sh").alias("msh"), "members")
+    return rows.join(mixed, F.col("sh") == F.col("msh")).drop("msh")
 
 
 def _both(rows: DataFrame) -> DataFrame:
@@ -302,8 +300,7 @@ def starred(rows: DataFrame) -> DataFrame:
 
 def crowded(rows: DataFrame) -> DataFrame:
     """sh, id, n, label: each member of a tile with at least CROWD rows, in the fullest of its tiles."""
-    full = rows.groupBy("sh").agg(F.count("*").alias("rows")).filter(F.col("rows") >= CROWD).select(F.col("sh").alias("fsh"), "rows")
-    return rows.join(full, F.col("sh") == F.col("fsh")).groupBy("id").agg(F.max_by(F.struct("sh", "n", "label"), F.struct("rows", "sh")).alias("m")).select("m.sh", "id", "m.n", "m.label")
+    return rows.filter(F.col("members") >= CROWD).groupBy("id").agg(F.max_by(F.struct("sh", "n", "label"), F.struct("members", "sh")).alias("m")).select("m.sh", "id", "m.n", "m.label")
 
 
 def least_linked(links: DataFrame) -> DataFrame:
@@ -319,9 +316,16 @@ def spread(rows: DataFrame) -> DataFrame:
     return _pairs(rows.join(_both(pivots), (F.col("sh") == F.col("osh")) & (F.col("label") != F.col("olabel")) & _size() & _may()))
 
 
-def complete(rows: DataFrame) -> DataFrame:
-    """All pairs of different components that share a leading shingle and may be alike enough."""
-    return _pairs(rows.join(_both(rows), (F.col("sh") == F.col("osh")) & (F.col("n") <= F.col("on")) & _size() & (F.col("label") != F.col("olabel")) & _enough() & _may()))
+def complete(rows: DataFrame, with_bits) -> DataFrame:
+    """All pairs of different components that share a leading shingle and may be alike enough.
+
+    Only tiles of more than FEW members carry their bitmaps into the join, whose pairs could be many; in the others a member has
+    less than FEW partners, and bitmaps, which are far larger than the rest of a row, are looked up for pairs alone.
+    """
+    may = (F.col("sh") == F.col("osh")) & (F.col("n") <= F.col("on")) & _size() & (F.col("label") != F.col("olabel")) & _enough()
+    rows = rows.select("sh", "id", "n", "rest", "label", "members")
+    few, many = rows.filter(F.col("members") <= FEW), with_bits(rows.filter(F.col("members") > FEW))
+    return _pairs(few.join(_both(few), may).select("id", "oid").unionByName(many.join(_both(many), may & _may()).select("id", "oid")))
 
 
 def links(docs: DataFrame, reps: DataFrame, facts: DataFrame, stars: int = STARS) -> DataFrame:
@@ -339,14 +343,15 @@ def links(docs: DataFrame, reps: DataFrame, facts: DataFrame, stars: int = STARS
         found = new if found is None else found.unionByName(new)
         return new.count()
 
-    rows = labelled(tile, None)
+    # Without rounds before, any tile may be a crowd.
+    rows = tile.withColumns({"label": F.col("id"), "members": F.lit(FEW + 1)})
     if stars:
-        settle(starred(rows))
+        settle(starred(tile.withColumn("label", F.col("id"))))
         crowd = stored(crowded(labelled(tile, least_linked(found))), "crowded")
         if not crowd.isEmpty():
             settle(spread(with_bits(crowd)))
         rows = stored(labelled(tile, components(found, "a", "b")), "mixed")
-    settle(complete(with_bits(rows)))
+    settle(complete(rows, with_bits))
     return found
 
 
