@@ -1,14 +1,16 @@
-"""Registered queries over profiles of cells, balanced folds and split panels."""
+"""Registered queries over profiles and neighbours of cells, balanced folds and split panels."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from fieldmark.operators import folds, profiles
+from fieldmark.operators.neighbours import ENOUGH, NEAREST, chosen, nearest_rows, policies, pools
 from fieldmark.operators.places import cell
 from fieldmark.plans.checklist_queries import query
-from fieldmark.plans.habitat_queries import GROUPS, habitat_shares
-from fieldmark.sources.tables import checklists, observers
+from fieldmark.plans.habitat_queries import BANDWIDTH, GROUPS, RADIUS, SHARES_SQL, habitat_shares
+from fieldmark.sources.shared import kept
+from fieldmark.sources.tables import checklists, observers, table
 
 SEED, PROFILES, PER_DEGREE = "panels-1", 8, 20
 
@@ -58,3 +60,43 @@ def split_panel_roles(spark, d):
     """What each fold of the panels withholds: cells and lists of its anchors and of their buffers, and those that train in any case."""
     rows = folds.roles(units(spark, d), anchors(spark, d))
     return rows.groupBy("panel", "fold", "role").agg(F.count("*").alias("cells"), F.sum("lists").alias("lists"))
+
+
+#: Terrain is the first two numbers of a vector; its bandwidth and that of habitat.
+TERRAIN, WIDTHS = 2, (0.5, BANDWIDTH)
+HABITAT_SQL = " + ".join(f"pow(a.s{g} - b.s{g}, 2)" for g in range(GROUPS))
+PAIRS_SQL = f"""{SHARES_SQL}, tr AS (SELECT sh.*, e.embedding[1]::DOUBLE AS t0, e.embedding[2]::DOUBLE AS t1 FROM sh JOIN embeddings e USING (vec_id)),
+pr AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS local, sqrt({HABITAT_SQL}) / sqrt(2) AS habitat, sqrt((pow(a.t0 - b.t0, 2) + pow(a.t1 - b.t1, 2)) / 2) AS terrain FROM tr a JOIN tr b ON a.vec_id <> b.vec_id),
+el AS (SELECT *, sqrt(pow(habitat / {BANDWIDTH}, 2) + pow(terrain / {WIDTHS[0]}, 2)) AS joint, count(*) FILTER (local) OVER (PARTITION BY a) AS locals FROM pr WHERE habitat <= {RADIUS})"""
+
+
+def neighbour_pools(rows, dims, radius, bounded=None):
+    of = lambda own: nearest_rows(rows, "vec_id", "label", dims, NEAREST, radius, own, bounded)
+    return kept(pools(of(True), of(False)), "neighbour-pools")
+
+
+@query(f"""WITH {PAIRS_SQL}, ra AS (SELECT *, row_number() OVER (PARTITION BY a, local ORDER BY round(habitat, 12), b) AS r FROM el),
+po AS (SELECT 'exclusive' AS policy, 'all' AS channel, *, 0 AS turn FROM ra WHERE local OR locals < {ENOUGH} UNION ALL SELECT 'reserved', 'all', *, CASE WHEN local AND r <= {ENOUGH} THEN 0 WHEN NOT local THEN 1 ELSE 2 END FROM ra UNION ALL SELECT 'channels', CASE WHEN local THEN 'own' ELSE 'other' END, *, 0 FROM ra),
+rk AS (SELECT *, row_number() OVER (PARTITION BY policy, channel, a ORDER BY turn, round(habitat, 12), b) AS k FROM po)
+SELECT policy, channel, a, count(*) AS neighbours, count(*) FILTER (local) AS locals, round(sum(exp(-0.5 * pow(habitat / {BANDWIDTH}, 2))), 6) AS weight, CAST(sum(b * k) AS BIGINT) AS ids FROM rk WHERE k <= {NEAREST} GROUP BY ALL""", bound=False)
+def neighbour_policies(spark, d):
+    """Each cell's neighbours by habitat under three policies: how many, how many of its own label, their weight, and their ids by rank."""
+    dims = [f"s{g}" for g in range(GROUPS)]
+    rows = policies(neighbour_pools(habitat_shares(spark, d).withColumns({c: F.col(c) / 2**0.5 for c in dims}), dims, RADIUS))
+    weight = F.exp(-0.5 * F.pow(F.col("dist") / BANDWIDTH, 2))
+    return rows.groupBy("policy", "channel", "a").agg(F.count("*").alias("neighbours"), F.count_if("local").alias("locals"), F.round(F.sum(weight), 6).alias("weight"), F.sum(F.col("b") * F.col("rank")).alias("ids"))
+
+
+@query(f"""WITH {PAIRS_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(joint, 12), b) AS k FROM el WHERE local OR locals < {ENOUGH})
+SELECT a, max(CASE WHEN locals < {ENOUGH} THEN 'all' ELSE 'own' END) AS scope, count(*) AS neighbours, round(min(joint), 6) AS nearest, round(max(joint), 6) AS farthest, round(sum(exp(-0.5 * joint * joint)), 6) AS weight, CAST(sum(b * k) AS BIGINT) AS ids FROM rk WHERE k <= {NEAREST} GROUP BY a""", bound=False)
+def terrain_neighbours(spark, d):
+    """Each cell's neighbours by habitat and terrain together, among those alike enough in habitat. The weight is the product of both kernels, so its
+    distance is that of the vectors put side by side, each by its bandwidth."""
+    terrain = table(spark, d, "embeddings").select("vec_id", *[(F.get("embedding", F.lit(i)).cast("double") / (TERRAIN**0.5 * WIDTHS[0])).alias(f"t{i}") for i in range(TERRAIN)])
+    dims = [f"s{g}" for g in range(GROUPS)]
+    shares = habitat_shares(spark, d).withColumns({c: F.col(c) / (2**0.5 * BANDWIDTH) for c in dims})
+    rows = chosen(neighbour_pools(shares.join(terrain, "vec_id"), [*dims, *[f"t{i}" for i in range(TERRAIN)]], RADIUS / BANDWIDTH, GROUPS))
+    return rows.groupBy("a").agg(
+        F.max(F.when(F.col("locals") < ENOUGH, "all").otherwise("own")).alias("scope"), F.count("*").alias("neighbours"), F.round(F.min("dist"), 6).alias("nearest"), F.round(F.max("dist"), 6).alias("farthest"),
+        F.round(F.sum(F.exp(-0.5 * F.col("dist") * F.col("dist"))), 6).alias("weight"), F.sum(F.col("b") * F.col("rank")).alias("ids"),
+    )
