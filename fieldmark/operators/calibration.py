@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from fieldmark.sources.shared import kept
 
 
-def _logs(p: Column) -> tuple[Column, Column]:
-    inner = F.greatest(F.lit(1e-8), F.least(F.lit(1 - 1e-8), p))
+# How near to 0 and 1 probabilities may be, when a calibrator is applied and when it is fitted.
+APPLIED, FITTED = 1e-9, 1e-8
+
+
+def _logs(p: Column, least: float) -> tuple[Column, Column]:
+    inner = F.greatest(F.lit(least), F.least(F.lit(1 - least), p))
     return F.log(inner), -F.log1p(-inner)
 
 
 def calibrated(p: Column, a: Column, b: Column, c: Column) -> Column:
     """logistic(a ln p - b ln(1 - p) + c)."""
-    x, y = _logs(p)
+    x, y = _logs(p, APPLIED)
     return 1 / (1 + F.exp(-(a * x + b * y + c)))
 
 
@@ -31,7 +35,7 @@ def beta_calibration(df: DataFrame, scope: str, p: str, total: str, positives: s
     step. Rows without scope, probability or trials are left out; scopes with fewer than three rows
     keep the identity; no rows give no scopes.
     """
-    x, y = _logs(F.col(p))
+    x, y = _logs(F.col(p), FITTED)
     rows = kept(df.filter(f"{scope} IS NOT NULL AND {p} IS NOT NULL AND {total} > 0 AND {positives} >= 0").select(F.col(scope).alias("scope"), x.alias("x"), y.alias("y"), F.col(total).cast("double").alias("t"), F.least(positives, total).cast("double").alias("k")), "trials")
     now = rows.groupBy("scope").agg((F.count("*") >= 3).alias("fit")).select("scope", "fit", F.lit(1.0).alias("a"), F.lit(1.0).alias("b"), F.lit(0.0).alias("c"))
     now = kept(now, "calibrators")

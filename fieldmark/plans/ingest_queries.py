@@ -28,7 +28,7 @@ def raw_checklists(spark, d):
     key, when = F.col("report_id").cast("string"), F.concat(F.lit(" "), day("day"), F.lit(" 08:00 "))
     first = F.to_json(F.struct(key.alias("reportId"), when.alias("start_time"), F.col("city").cast("string").alias("city_name"), F.col("rows").alias("taxoncount"), F.array("lon", "lat").alias("location"), "taxa"))
     second = F.to_json(F.struct(F.lit("").alias("reportId"), key.alias("request_id"), when.alias("startTime"), F.col("city").cast("string").alias("cityName"), F.col("rows").cast("string").alias("taxon_count"), F.struct(F.col("lon").alias("lng"), "lat").alias("location"), "taxa"))
-    third = F.to_json(F.struct(F.lit("  ").alias("request_id"), key.alias("id"), when.alias("startTime"), F.col("city").alias("city"), F.lit("many").alias("taxonCount"), F.concat_ws(",", "lon", "lat").alias("location"), "taxa"))
+    third = F.to_json(F.struct(F.lit("").alias("request_id"), key.alias("id"), when.alias("startTime"), F.col("city").alias("city"), F.lit("many").alias("taxonCount"), F.concat_ws(",", "lon", "lat").alias("location"), "taxa"))
     return c.select("report_id", F.when(feed == 0, first).when(feed == 1, second).otherwise(third).alias("raw"), F.when(F.col("state") == "F", "flagged").otherwise("normal").alias("kind"))
 
 

@@ -25,6 +25,7 @@ OBSERVATION = {
     "family_name": ("taxonfamilyname", "taxon_family_name", "familyName"),
 }
 OBSERVATION_NUMBERS = {"taxon_count": ("taxon_count", "taxonCount", "count", "number"), "outside_type": ("outside_type",)}
+BLANKS = " \t\n\r\v\f\u00a0\u3000\ufeff"
 ARRAYS = ("data", "list", "rows", "records", "items", "result", "species")
 
 
@@ -34,8 +35,8 @@ def fields(raw: Column) -> Column:
 
 
 def text(fields: Column, names: tuple[str, ...]) -> Column:
-    """The first of the fields that isn't empty, without blanks at its ends; "" if none is there."""
-    return F.coalesce(*[F.nullif(F.trim(F.try_element_at(fields, F.lit(n))), F.lit("")) for n in names], F.lit(""))
+    """The first of the fields that isn't empty, then without blanks at its ends, so one of blanks alone hides those after it; "" if none is there."""
+    return F.trim(F.coalesce(*[F.nullif(F.try_element_at(fields, F.lit(n)), F.lit("")) for n in names], F.lit("")), F.lit(BLANKS))
 
 
 def whole(fields: Column, names: tuple[str, ...]) -> Column:
