@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldmark.plans import challenger_queries, checklist_queries, event_queries, habitat_queries, ingest_queries, model_queries, place_queries, prior_queries, record_queries, split_queries, stream_queries  # noqa: F401  (all fill the same tables)
+from fieldmark.plans import challenger_queries, checklist_queries, event_queries, habitat_queries, ingest_queries, model_queries, nested_queries, place_queries, prior_queries, record_queries, split_queries, stream_queries  # noqa: F401  (all fill the same tables)
 
 
 def queries() -> dict:
