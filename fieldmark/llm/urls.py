@@ -4,8 +4,8 @@ Runs of letters in host labels and paths are split into words by a unigram Viter
 the words of all pages' text exactly, joins the counts with the parts of the distinct runs, splits each
 run once with the counts of its own parts, and joins the words with the pages' runs again; no task holds
 more counts than one run has parts.
-A multinomial naive Bayes model learns from the urls that a rule judges; its tokens are hashed into
-BUCKETS counters a class, again a fixed size. Both verdicts are taken to be as likely beforehand (how many
+A multinomial naive Bayes model learns from the urls that a rule judges: each token's counts by verdict are summed
+exactly and joined with the pages' tokens again. Both verdicts are taken to be as likely beforehand (how many
 pages the rules happen to name says nothing about the others), and a class's shares are smoothed towards
 those of both classes, so that tokens that neither knows count for neither.
 """
@@ -16,7 +16,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +30,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-BUCKETS = 1 << 16
 SMOOTH = 50.0
 LONGEST = 24
-TAG = re.compile(r"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S | re.I)
+#: Starts of runs that are handed on at a time.
+BLOCK = 256
+OPEN, CLOSE = re.compile(r"<(script|style)?", re.I), {n: re.compile(f"</{n}>", re.I) for n in ("script", "style")}
 LETTERS = re.compile(r"[^\W\d_]+")
 SPLIT = re.compile(r"[^0-9a-z\x80-\U0010ffff]+")
 
@@ -54,6 +54,27 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Col
     return rule, verdict
 
 
+def untagged(html: str) -> str:
+    """html with a blank for each tag, and for each script or style with what it holds. One that never closes is a plain tag, and a < without a >
+    stays. Each place is looked at once: what isn't found from one place on isn't looked for again."""
+    out, at, absent = [], 0, set()
+    while found := OPEN.search(html, at):
+        name, end = (found[1] or "").lower(), -1
+        if name and name not in absent:
+            close = CLOSE[name].search(html, found.end())
+            if close:
+                end = close.end()
+            else:
+                absent.add(name)
+        if end < 0:
+            end = html.find(">", found.start()) + 1
+            if not end:
+                break
+        out += [html[at : found.start()], " "]
+        at = end
+    return "".join(out) + html[at:]
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """word, n: the words of all pages' text that are at most LONGEST long; the word "" counts all longer ones."""
 
@@ -61,7 +82,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             seen = Counter()
             for html in batch.column("html"):
-                seen.update(w if len(w) <= LONGEST else "" for w in LETTERS.findall(TAG.sub(" ", html.as_py() or "").lower()))
+                seen.update(w if len(w) <= LONGEST else "" for w in LETTERS.findall(untagged(html.as_py() or "").lower()))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
     return pages.select("html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -93,34 +114,37 @@ def marked_runs(host: str, path: str) -> list[str]:
 
 
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """run, words: each distinct run split by the exact counts of its parts."""
+    """run, words: each distinct run split by the exact counts of its parts. Parts travel with their run's number, and those of a long
+    run a block of starts at a time, so a run of any length needs memory for itself and its known parts only."""
+    runs = stored(runs.withColumn("id", F.monotonically_increasing_id()), "url-distinct")
 
     def parts(batches):
+        ids, found = [], []
         for batch in batches:
-            out = []
-            for run in batch.column("run").to_pylist():
-                for part in {run[s:e] for s in range(len(run)) for e in range(s + 1, min(s + LONGEST, len(run)) + 1)}:
-                    out.append((run, part))
-                    if len(out) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=["run", "part"])
-                        out.clear()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=["run", "part"])
+            for id, run in zip(batch.column("id").to_pylist(), batch.column("run").to_pylist()):
+                for first in range(0, len(run), BLOCK):
+                    new = {run[s:e] for s in range(first, min(first + BLOCK, len(run))) for e in range(s + 1, min(s + LONGEST, len(run)) + 1)}
+                    ids += [id] * len(new)
+                    found += new
+                    if len(ids) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "part"])
+                        ids, found = [], []
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["id", "part"])
 
     total = max(1, counts.agg(F.sum("n")).first()[0] or 0)
-    known = runs.mapInArrow(parts, "run string, part string").join(counts, F.col("part") == F.col("word")).select("run", F.struct("word", "n").alias("one"))
-    # A row without a word keeps the runs of which no part is known.
-    each = known.unionByName(runs.select("run", F.lit(None).cast("struct<word:string,n:bigint>").alias("one"))).groupBy("run").agg(F.collect_list("one").alias("known"))
+    known = runs.select("id", "run").mapInArrow(parts, "id long, part string").join(counts, F.col("part") == F.col("word")).select("id", F.struct("word", "n").alias("one"))
+    each = runs.join(known.groupBy("id").agg(F.collect_set("one").alias("known")), "id", "left")
 
     @F.arrow_udf("array<string>")
     def words(run: pa.Array, known: pa.Array) -> pa.Array:
-        return pa.array([split(r, {x["word"]: x["n"] for x in k}, total) for r, k in zip(run.to_pylist(), known.to_pylist())], pa.list_(pa.string()))
+        return pa.array([split(r, {x["word"]: x["n"] for x in k or ()}, total) for r, k in zip(run.to_pylist(), known.to_pylist())], pa.list_(pa.string()))
 
     return each.select("run", words("run", "known").alias("words"))
 
 
 def tokenized(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """rows and their tokens, h:word of the host and p:word of the path in their order."""
+    """rows, a number for each (row), and their tokens, h:word of the host and p:word of the path in their order."""
 
     @F.arrow_udf("array<string>")
     def runs_of(hosts: pa.Array, paths: pa.Array) -> pa.Array:
@@ -135,20 +159,18 @@ def tokenized(rows: DataFrame, counts: DataFrame) -> DataFrame:
     done = open_.join(words, "run").select("row", "at", F.transform("words", lambda w: F.concat("kind", w)).alias("tokens"))
     all_ = done.unionByName(each.filter(~letters).select("row", "at", F.array("mark").alias("tokens")))
     all_ = all_.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
-    return rows.drop("runs").join(all_, "row", "left").drop("row").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    return rows.drop("runs").join(all_, "row", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
 
 
-def token_odds(known: DataFrame) -> np.ndarray:
-    """Log odds of block for each bucket, from rows (said, hashed). At most 2 * BUCKETS counts reach the driver."""
-    n = np.zeros((2, BUCKETS))
-    counts = known.select((F.col("said") == "block").cast("int").alias("k"), F.explode("hashed").alias("b")).groupBy("k", "b").count().toArrow()
-    n[counts.column("k").to_numpy(), counts.column("b").to_numpy()] += counts.column("count").to_numpy()
-    if not n.sum(axis=1).all():
-        return np.zeros(BUCKETS)
-    both = n.sum(axis=0) / n.sum()
-    share = (n + SMOOTH * both) / (n.sum(axis=1, keepdims=True) + SMOOTH)
-    seen = both > 0
-    return np.where(seen, np.log(np.where(seen, share[1], 1)) - np.log(np.where(seen, share[0], 1)), 0.0)
+def token_odds(known: DataFrame) -> DataFrame:
+    """token, odds: the log odds of block of each token of the rows (said, tokens); none where one verdict has no tokens."""
+    blocked, n = F.col("said") == "block", F.count("*")
+    counts = stored(known.select("said", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if(blocked).alias("block"), (n - F.count_if(blocked)).alias("allow")), "token-counts")
+    block, allow = counts.agg(F.sum("block"), F.sum("allow")).first()
+    if not block or not allow:
+        return counts.filter("false").select("token", F.lit(0.0).alias("odds"))
+    share = lambda c, all_: (F.col(c) + SMOOTH * (F.col("block") + F.col("allow")) / (block + allow)) / (all_ + SMOOTH)
+    return counts.select("token", (F.log(share("block", block)) - F.log(share("allow", allow))).alias("odds"))
 
 
 def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -163,16 +185,12 @@ def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = tokenized(rows.select("*", rule.alias("rule"), verdict.alias("said")), stored(word_counts(pages), "word-counts"))
-    rows = stored(rows.withColumn("hashed", F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))), "url-tokens")
+    rows = stored(rows, "url-tokens")
     odds = token_odds(rows.filter("said IS NOT NULL"))
-
-    @F.arrow_udf("double")
-    def score(buckets: pa.Array) -> pa.Array:
-        at = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy(zero_copy_only=False))
-        flat = np.asarray(buckets.flatten())
-        return pa.array(np.bincount(at, odds[flat], minlength=len(buckets)))
-
-    rows = rows.withColumn("score", F.round(score("hashed"), 9))
+    # Copies of a token in one row are counted first; sums are decimals, so scores don't depend on their order.
+    each = rows.select("row", F.explode("tokens").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
+    scores = each.join(odds, "token").groupBy("row").agg(F.sum((F.col("n") * F.col("odds")).cast("decimal(28,12)")).cast("double").alias("score"))
+    rows = rows.join(scores, "row", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
     words = F.transform(F.filter("tokens", lambda t: t.startswith("h:")), lambda t: F.substring(t, 3, 1 << 20))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), words.alias("words"), "score")
 

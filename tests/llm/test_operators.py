@@ -225,6 +225,60 @@ def test_urls_split_by_exact_counts(spark):
     assert counts["heron"] == 1 and counts["bala"] == 200 and counts[""] == 1
 
 
+def test_tags_go_as_by_a_pattern_and_in_one_pass():
+    import random
+    import re
+    import time
+
+    pattern, rng = re.compile(r"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S | re.I), random.Random(6)
+    for _ in range(4000):
+        html = "".join(rng.choice(["<", ">", "<script", "</script>", "<STYLE", "</style>", "a", " ", "<p>", "\n"]) for _ in range(rng.randint(0, 14)))
+        assert urls.untagged(html) == pattern.sub(" ", html), html
+    began = time.time()
+    for page in ("<script " * 130_000, "<" * (1 << 20), "<style>" * 150_000):
+        urls.untagged(page)
+    assert time.time() - began < 20
+
+
+def test_runs_of_any_length_and_empty_tables(spark):
+    long = "heronmarsh" * 12_000
+    rows = [(1, f"http://{long}.net/de/x", "heron marsh heron marsh"), (2, "http://a.org/es/", "<script " * 10_000), (3, "x://b/" + "é" * 3_000, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["words"] for r in urls.judged(df).collect()}
+    assert got[1] == ["heron", "marsh"] * 12_000 + ["net"] and got[2][-1] == "org"
+    assert urls.judged(df.filter("false")).count() == 0
+
+
+def test_split_is_the_best_of_all_segmentations():
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        run = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        parts = sorted({run[s:e] for s in range(len(run)) for e in range(s + 1, len(run) + 1)})
+        counts = {p: rng.randint(1, 50) for p in parts if rng.random() < 0.5}
+        cost = lambda words: sum(math.log(500) - math.log(counts[w]) if w in counts else math.log(500) + 2.5 * len(w) for w in words)
+        cut = lambda at: [run[a:b] for a, b in itertools.pairwise((0, *at, len(run)))]
+        best = min(cost(cut(at)) for k in range(len(run)) for at in itertools.combinations(range(1, len(run)), k))
+        found = urls.split(run, counts, 500)
+        assert "".join(found) == run and abs(cost(found) - best) < 1e-9
+
+
+def test_token_odds_as_by_counting(spark):
+    import math
+
+    rows = [("block", ["a", "a", "b"]), ("allow", ["b", "c"]), ("block", ["d"])]
+    df = spark.createDataFrame(rows, "said string, tokens array<string>")
+    got = {r["token"]: r["odds"] for r in urls.token_odds(df).collect()}
+    n = {"a": (2, 0), "b": (1, 1), "c": (0, 1), "d": (1, 0)}
+    for token, (b, a) in n.items():
+        both = urls.SMOOTH * (a + b) / 6
+        assert abs(got[token] - math.log((b + both) / (4 + urls.SMOOTH)) + math.log((a + both) / (2 + urls.SMOOTH))) < 1e-12
+    assert urls.token_odds(df.filter("said = 'block'")).count() == 0
+
+
 def test_groups_of_copies_that_are_only_partly_alike_enough(spark, monkeypatch):
     """Rounds with several pivots, on tiles that are larger than CROWD."""
     import random
