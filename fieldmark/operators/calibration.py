@@ -70,3 +70,78 @@ def cross_fitted(df: DataFrame, scope: str, fold: str, p: str, total: str, posit
     found = beta_calibration(others, "part", p, total, positives).select(F.col("scope.s").alias("_s"), F.col("scope.f").alias("_f"), "a", "b", "c")
     rows = df.join(found, (F.col(scope) == F.col("_s")) & (F.col(fold) == F.col("_f")), "left")
     return rows.withColumn("q", F.when(F.col("a").isNull(), F.col(p)).otherwise(calibrated(F.col(p), F.col("a"), F.col("b"), F.col("c")))).drop("a", "b", "c", "_s", "_f")
+
+
+# Counts of positives at which groups of items begin, the last those from which an item is calibrated by itself; ridge of the one-parameter families.
+BOUNDS, RIDGE = (30, 60, 120, 200), 0.1
+#: Families in order of preference, and how much of a fit is taken.
+FAMILIES, SHRINKAGES = ("identity", "intercept", "temperature", "beta"), (0.5, 1.0)
+
+
+def calibrator_scope(item: Column, positives: Column, bounds: tuple[int, ...] = BOUNDS) -> Column:
+    """species:<item> for items with enough positives, group:positive_<from>_<to> for those with fewer, null for those with too few to calibrate."""
+    out = F.when(positives >= bounds[-1], F.concat(F.lit("species:"), item.cast("string")))
+    for low, high in zip(bounds[-2::-1], bounds[:0:-1]):
+        out = out.when(positives >= low, F.lit(f"group:positive_{low}_{high - 1}"))
+    return out
+
+
+def one_parameter(df: DataFrame, scope: str, p: str, total: str, positives: str, ridge: float = RIDGE, steps: int = 80, within: float = 1e-8) -> DataFrame:
+    """scope, family, a, b, c: for each scope an intercept (1, 1, c) and a temperature (a, a, 0), both pulled to the identity by a ridge.
+
+    Both families take their Newton steps together, one aggregate of four sums a scope each; the driver sees one flag a step. Rows without
+    scope, probability or trials, or with more positives than trials, are left out; scopes with fewer than three rows have no fit.
+    """
+    x, y = _logs(F.col(p), FITTED)
+    rows = df.filter(f"{scope} IS NOT NULL AND {p} IS NOT NULL AND {total} > 0 AND {positives} BETWEEN 0 AND {total}")
+    rows = kept(rows.select(F.col(scope).alias("scope"), (x + y).alias("x"), F.col(total).cast("double").alias("t"), F.col(positives).cast("double").alias("k")), "logits")
+    now = kept(rows.groupBy("scope").agg(F.count("*").alias("n")).filter("n >= 3").select("scope", F.lit(True).alias("fit"), F.lit(0.0).alias("c"), F.lit(True).alias("fit_s"), F.lit(1.0).alias("s")), "one-parameter")
+    logistic = lambda z: 1 / (1 + F.exp(-z))
+    for _ in range(steps):
+        met = rows.join(now.filter("fit OR fit_s"), "scope").withColumns({"zc": logistic(F.col("x") + F.col("c")), "zs": logistic(F.col("x") * F.col("s"))})
+        spread = lambda z, w: F.greatest(F.lit(1e-12), F.col("t") * F.col(z) * (1 - F.col(z)) * w)
+        sums = met.groupBy("scope").agg(
+            F.sum(F.col("k") - F.col("t") * F.col("zc")).alias("gc"), F.sum(spread("zc", F.lit(1.0))).alias("hc"),
+            F.sum(F.col("x") * (F.col("k") - F.col("t") * F.col("zs"))).alias("gs"), F.sum(spread("zs", F.col("x") * F.col("x"))).alias("hs"),
+        )
+        dc, ds = _bounded((F.col("gc") - ridge * F.col("c")) / (F.col("hc") + ridge), -2, 2), _bounded((F.col("gs") - ridge * (F.col("s") - 1)) / (F.col("hs") + ridge), -1, 1)
+        moved = now.join(sums, "scope", "left").withColumns({"dc": F.when(F.col("fit"), dc).otherwise(0.0), "ds": F.when(F.col("fit_s"), ds).otherwise(0.0)})
+        # A family that has come to rest in a scope moves no more.
+        now = kept(moved.select("scope", (F.abs("dc") >= within).alias("fit"), _bounded(F.col("c") + F.col("dc"), -12, 12).alias("c"), (F.abs("ds") >= within).alias("fit_s"), _bounded(F.col("s") + F.col("ds"), 0.05, 20).alias("s")), "one-parameter")
+        if now.filter("fit OR fit_s").isEmpty():
+            break
+    fit = lambda name, a, c: F.struct(F.lit(name).alias("family"), a.alias("a"), a.alias("b"), c.alias("c"))
+    return now.select("scope", F.inline(F.array(fit("intercept", F.lit(1.0), F.col("c")), fit("temperature", F.col("s"), F.lit(0.0)))))
+
+
+def chosen_families(df: DataFrame, scope: str, fold: str, p: str, total: str, positives: str, folds: int) -> DataFrame:
+    """scope, family, shrinkage, a, b, c, brier, selected: each family with each shrinkage, fitted to all folds of a scope, and its Brier score
+    when each fold is calibrated by what the other folds fit.
+
+    Shrinkage takes that part of the way from the identity to the fit; the identity is there once, with none. What no fold could fit is the identity.
+    The least score is selected, rounded to 12 digits; ties go to the earlier family, then to the lower shrinkage. All folds are fitted side by side,
+    rows going once to each other fold and once to the fit of all.
+    """
+    rows = df.filter(f"{scope} IS NOT NULL AND {p} IS NOT NULL AND {total} > 0 AND {positives} BETWEEN 0 AND {total}")
+    rows = kept(rows.select(F.col(scope).alias("scope"), F.col(fold).cast("int").alias("fold"), F.col(p).cast("double").alias("p"), F.col(total).alias("total"), F.col(positives).alias("positives")), "calibrated-rows")
+    each = rows.withColumn("held", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1)))).filter("held <> fold").withColumn("part", F.struct("scope", "held"))
+    fits = one_parameter(each, "part", "p", "total", "positives").withColumnRenamed("scope", "part")
+    beta = beta_calibration(each, "part", "p", "total", "positives").select(F.col("scope").alias("part"), F.lit("beta").alias("family"), "a", "b", "c")
+    fits = kept(fits.unionByName(beta).select(F.col("part.scope").alias("scope"), F.col("part.held").alias("held"), "family", "a", "b", "c"), "family-fits")
+
+    kinds = [("identity", 0.0, 0)] + [(f, s, i) for i, f in enumerate(FAMILIES) if i for s in SHRINKAGES]
+    variants = F.inline(F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("shrinkage"), F.lit(i).alias("turn")) for f, s, i in kinds]))
+
+    def with_fit(base: DataFrame) -> DataFrame:
+        met = base.select("*", variants).join(fits, ["scope", "held", "family"], "left").fillna({"a": 1.0, "b": 1.0, "c": 0.0})
+        part = lambda c, none: none + F.col("shrinkage") * (F.col(c) - none)
+        return met.withColumns({"a": part("a", 1), "b": part("b", 1), "c": part("c", 0)})
+
+    q = F.when(F.col("family") == "identity", F.col("p")).otherwise(calibrated(F.col("p"), F.col("a"), F.col("b"), F.col("c")))
+    tested = with_fit(rows.withColumnRenamed("fold", "held")).withColumn("q", q)
+    loss = F.col("positives") * F.pow(1 - F.col("q"), 2.0) + (F.col("total") - F.col("positives")) * F.pow(F.col("q"), 2.0)
+    scores = kept(tested.groupBy("scope", "family", "shrinkage", "turn").agg(F.round(F.sum(loss) / F.sum("total"), 12).alias("brier")), "family-scores")
+    best = scores.groupBy("scope").agg(F.min(F.struct("brier", "turn", "shrinkage")).alias("best"))
+    final = with_fit(rows.select("scope").distinct().withColumn("held", F.lit(-1))).select("scope", "family", "shrinkage", "a", "b", "c")
+    selected = (F.col("best.turn") == F.col("turn")) & (F.col("best.shrinkage") == F.col("shrinkage"))
+    return final.join(scores, ["scope", "family", "shrinkage"]).join(best, "scope").select("scope", "family", "shrinkage", "a", "b", "c", "brier", selected.alias("selected"))

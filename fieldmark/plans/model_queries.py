@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.beta import beta_quantile
 from fieldmark.functions.season import band, recency, season_day, season_week
-from fieldmark.operators.calibration import cross_fitted
+from fieldmark.operators.calibration import calibrator_scope, chosen_families, cross_fitted
 from fieldmark.operators.core import first_by, islands, weighted_quantile
 from fieldmark.operators.numbering import numbered
 from fieldmark.operators.places import cell, split_by_cell
@@ -170,6 +170,23 @@ def cross_calibration(spark, d):
     return out.withColumn("accepted", (F.col("calibrated") <= 1.01 * F.col("raw")) & (F.col("bias") <= F.col("raw_bias") + 0.01))
 
 
+@query("""WITH n AS (SELECT taxon, count(DISTINCT report_id) AS positives FROM ob GROUP BY taxon),
+s AS (SELECT *, CASE WHEN positives >= 30 THEN concat('species:', taxon) WHEN positives >= 20 THEN 'group:positive_20_29' WHEN positives >= 10 THEN 'group:positive_10_19' END AS scope FROM n)
+SELECT scope, count(*) AS taxa, CAST(sum(positives) AS BIGINT) AS positives, min(taxon) AS first FROM s GROUP BY scope""")
+def calibrator_scopes(spark, d):
+    """Which taxa are calibrated by themselves, together with others of like support, or not at all (null); bounds are lower here, as taxa have few lists."""
+    n = observations(spark, d).groupBy("taxon").agg(F.countDistinct("report_id").alias("positives"))
+    scope = calibrator_scope(F.col("taxon"), F.col("positives"), (10, 20, 30)).alias("scope")
+    return n.select("taxon", "positives", scope).groupBy("scope").agg(F.count("*").alias("taxa"), F.sum("positives").alias("positives"), F.min("taxon").alias("first"))
+
+
+@query()
+def calibrator_families(spark, d):
+    """Each family of calibrators and each shrinkage in each scope: the fit of all folds, its Brier score across folds, and which is selected."""
+    rows = out_of_fold(spark, d).withColumn("scope", calibrator_scope(F.col("family"), F.sum("positives").over(W.partitionBy("family"))))
+    return chosen_families(rows, "scope", "fold", "p", "total", "positives", FOLDS).withColumns({c: F.round(c, 6) for c in ("a", "b", "c")})
+
+
 @query()
 def frequency_intervals(spark, d):
     """city, family, p, low, high: the share of lists with the family and its 5 % and 95 % Beta quantiles."""
