@@ -106,15 +106,14 @@ def rare_hits(spark, d):
     return seen.join(base, "taxon").select("day", "taxon", "baseline")
 
 
-@query("""WITH mine AS (SELECT DISTINCT point, taxon, name FROM cl JOIN ob USING (report_id) JOIN pp USING (observer) JOIN tx USING (taxon))
-SELECT c.point, t.taxon, t.name FROM tx t, (SELECT DISTINCT point FROM pp) c
-WHERE NOT EXISTS (SELECT 1 FROM mine m WHERE m.point = c.point AND m.taxon = t.taxon) AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.point = c.point AND m.name = t.name)""")
+@query("""WITH mine AS (SELECT DISTINCT city, taxon, name FROM cl JOIN ob USING (report_id) JOIN pp USING (observer) JOIN tx USING (taxon) WHERE day >= DATE '2001-01-01'), cities AS (SELECT DISTINCT city FROM pp),
+k AS (SELECT city, taxon, name FROM tx CROSS JOIN cities ANTI JOIN mine USING (city, taxon)) SELECT city, taxon, name FROM k ANTI JOIN (SELECT DISTINCT city, name FROM mine) USING (city, name)""")
 def missing_taxa(spark, d):
-    """Catalogue taxa that nobody has ever seen at a point, neither by key nor by name. Points are a dimension: the catalogue of each is what the answer is about."""
-    mine = checklists(spark, d).join(observations(spark, d), "report_id").join(observers(spark, d).select("observer", "point"), "observer").select("point", "taxon").distinct()
-    mine = mine.join(taxa(spark, d).select("taxon", "name"), "taxon")
-    catalogue = taxa(spark, d).select("taxon", "name").crossJoin(observers(spark, d).select("point").distinct())
-    return unseen(catalogue, mine, ["point", "taxon"], ["point", "name"]).select("point", "taxon", "name")
+    """Catalogue taxa that nobody has seen in a city since 2001 began, neither by key nor by name. Cities are a small dimension: the catalogue of each is what the answer is about."""
+    lists = checklists(spark, d).filter("day >= DATE '2001-01-01'").join(observers(spark, d).select("observer", "city"), "observer")
+    mine = lists.join(observations(spark, d), "report_id").select("city", "taxon").distinct().join(taxa(spark, d).select("taxon", "name"), "taxon")
+    catalogue = taxa(spark, d).select("taxon", "name").crossJoin(F.broadcast(observers(spark, d).select("city").distinct()))
+    return unseen(catalogue, mine, ["city", "taxon"], ["city", "name"]).select("city", "taxon", "name")
 
 
 @query("""WITH h AS (SELECT DISTINCT day, taxon FROM cl JOIN ob USING (report_id))

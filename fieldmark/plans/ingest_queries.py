@@ -200,17 +200,18 @@ def keyed_union(spark, d):
     return each.agg(F.count("*").alias("rows"), F.sum("new").alias("added"), F.count_if((F.col("new") == 0) & (F.col("also") == 1)).alias("repeated"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("""WITH mine AS (SELECT DISTINCT observer, taxon FROM cl JOIN ob USING (report_id)), c AS (SELECT p.observer, p.city, t.taxon, t.name FROM (SELECT observer, city FROM pp WHERE observer % 40 = 0) p, tx t),
-s AS (SELECT DISTINCT observer, taxon, name FROM mine JOIN tx USING (taxon)),
-k AS (SELECT c.observer, count(*) AS total, count(*) FILTER (NOT EXISTS (SELECT 1 FROM s WHERE s.observer = c.observer AND s.taxon = c.taxon) AND NOT EXISTS (SELECT 1 FROM s WHERE s.observer = c.observer AND s.name = c.name)) AS left_over FROM c GROUP BY c.observer)
-SELECT observer, left_over AS kept, total - left_over AS removed FROM k""")
+@query("""WITH mine AS (SELECT DISTINCT observer, taxon FROM cl JOIN ob USING (report_id)), s AS (SELECT DISTINCT observer, name FROM mine JOIN tx USING (taxon)),
+r AS (SELECT observer, count(*) AS removed FROM (SELECT observer, taxon FROM s JOIN tx USING (name) UNION SELECT observer, taxon FROM mine SEMI JOIN tx USING (taxon)) GROUP BY observer)
+SELECT observer, (SELECT count(*) FROM tx) - coalesce(removed, 0) AS kept, coalesce(removed, 0) AS removed FROM pp LEFT JOIN r USING (observer)""")
 def seen_removed(spark, d):
-    """How many catalogue taxa a point P0's observers have still to see, by key and name, and how many are left out as seen."""
-    mine = checklists(spark, d).join(observations(spark, d), "report_id").filter("observer % 40 = 0").select("observer", "taxon").distinct().join(taxa(spark, d).select("taxon", "name"), "taxon")
-    who = observers(spark, d).filter("observer % 40 = 0").select("observer")
-    # The catalogue is a dimension of which each of the asked observers needs a copy: that is the result's size.
-    catalogue = taxa(spark, d).select("taxon", "name").crossJoin(who)
-    kept = unseen(catalogue, mine, ["observer", "taxon"], ["observer", "name"]).groupBy("observer").agg(F.count("*").alias("kept"))
-    total = taxa(spark, d).agg(F.count("*").alias("total"))
-    rows = who.join(kept, "observer", "left").fillna(0, ["kept"]).crossJoin(F.broadcast(total))
-    return rows.select("observer", "kept", (F.col("total") - F.col("kept")).alias("removed"))
+    """How many catalogue taxa each observer has still to see, by key and name, and how many are left out as seen.
+    A name that an observer has seen removes all taxa that bear it, so names are counted and no observer meets the catalogue."""
+    catalogue = taxa(spark, d).select("taxon", "name")
+    mine = checklists(spark, d).join(observations(spark, d), "report_id").select("observer", "taxon").distinct().join(catalogue, "taxon")
+    bearers = catalogue.filter("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("bearers"))
+    named = mine.select("observer", "name").distinct().join(bearers, "name").groupBy("observer").agg(F.sum("bearers").alias("named"))
+    nameless = mine.filter("name IS NULL").groupBy("observer").agg(F.count("*").alias("nameless"))
+    rows = observers(spark, d).select("observer").join(named, "observer", "left").join(nameless, "observer", "left").fillna(0, ["named", "nameless"])
+    total = catalogue.agg(F.count("*").alias("total"))
+    removed = F.col("named") + F.col("nameless")
+    return rows.crossJoin(F.broadcast(total)).select("observer", (F.col("total") - removed).alias("kept"), removed.alias("removed"))
