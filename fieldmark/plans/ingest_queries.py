@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.operators.core import unseen
 from fieldmark.plans.checklist_queries import day, query
+from fieldmark.sources.imports import imported
 from fieldmark.sources.ingest import checklists_of, coordinates, merged, observations_of, replaced, unwrapped
 from fieldmark.sources.shared import kept, shared_dir
 from fieldmark.sources.tables import checklists, observations, observers, taxa
 
 
-
-
-
 def raw_checklists(spark, d):
     """report_id, raw, kind: checklists as three feeds send them, each with its own names and way to give coordinates, with their taxa
     as a JSON array (missing for lists without rows)."""
@@ -119,24 +118,23 @@ def paged_feed(spark, d):
     return rows.filter("id IS NOT NULL").groupBy("user_id", "page").agg(F.count("*").alias("items"), F.sum(F.col("id").cast("bigint")).alias("ids"))
 
 
-# How headers of imported records are spelt.
-HEADERS = {"date": ("date", "observationdate", "day"), "species": ("species", "speciesname", "commonname"), "location": ("location", "place", "site"), "count": ("count", "number", "n")}
-
-
-@query("""SELECT c.report_id, strftime(day, '%Y-%m-%d') AS date, name AS species, CASE WHEN point = 'P7' THEN NULL ELSE concat('at "', point, '", x') END AS location, n, CASE WHEN point = 'P7' THEN 'location' ELSE '' END AS missing
-FROM cl c JOIN ob USING (report_id) JOIN tx USING (taxon) JOIN pp USING (observer) WHERE ob.idx = 1""")
+@query("""SELECT report_id, strftime(day, '%Y-%m-%d') AS date, name AS species, CASE WHEN point = 'P7' THEN NULL WHEN report_id % 4 = 3 THEN concat('at ', point) ELSE concat('at "', point, '", x') END AS location,
+CASE WHEN report_id % 4 < 3 THEN n END AS n, CASE WHEN point = 'P7' THEN 'location' ELSE '' END AS missing FROM cl JOIN ob USING (report_id) JOIN tx USING (taxon) JOIN pp USING (observer)""")
 def personal_import(spark, d):
-    """Records imported from CSV with quotes and separators inside fields: headers are matched without case and marks; rows that lack a required field are told apart."""
-    rows = checklists(spark, d).join(observations(spark, d).filter("idx = 1"), "report_id").join(taxa(spark, d), "taxon").join(observers(spark, d), "observer")
-    out = rows.select(F.col("report_id").alias("Report-ID"), day("day").alias("Observation Date"), F.col("name").alias("SPECIES_NAME"), F.when(F.col("point") != "P7", F.concat(F.lit('at "'), "point", F.lit('", x'))).alias(" Place."), F.col("n").alias("Number"))
-    path = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
-    out.write.option("header", True).option("escape", '"').csv(path)
-    read = spark.read.option("header", True).option("escape", '"').csv(path)
-    plain = {"".join(ch for ch in c.lower() if ch.isalnum()): c for c in read.columns}
-    found = {k: [plain[n] for n in names if n in plain] for k, names in HEADERS.items()}
-    named = read.select(F.col(f"`{plain['reportid']}`").cast("bigint").alias("report_id"), *[F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in cs], F.lit(None).cast("string")).alias(k) for k, cs in found.items()])
-    missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), c) for c in ("date", "species", "location")])
-    return named.select("report_id", "date", "species", "location", F.col("count").cast("double").alias("n"), missing.alias("missing"))
+    """Records imported from CSV, tab-separated text and JSON, with quotes and separators inside fields, and from plain lines without counts: formats are
+    told by the first line, headers matched without case and marks; rows that lack a required field are told apart."""
+    rows = checklists(spark, d).join(observations(spark, d), "report_id").join(taxa(spark, d), "taxon").join(observers(spark, d), "observer")
+    rows = kept(rows.select("report_id", day("day").alias("date"), "name", "point", "n"), "import-rows")
+    place = lambda *x: F.when(F.col("point") != "P7", F.concat(*x))
+    named = rows.select("report_id", F.col("report_id").alias("Report-ID"), F.col("date").alias("Observation Date"), F.col("name").alias("SPECIES_NAME"), place(F.lit('at "'), "point", F.lit('", x')).alias(" Place."), F.col("n").alias("Number"))
+    base, out = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}", lambda i: named.filter(F.col("report_id") % 4 == i).drop("report_id").write
+    for i, sep in enumerate((",", "\t")):
+        out(i).option("header", True).option("escape", '"').option("sep", sep).csv(f"{base}-{i}")
+    out(2).json(f"{base}-2")
+    line = F.concat_ws(" , ", "date", "name", F.coalesce(place(F.lit("at "), "point"), F.lit("")), F.lit("30.5"), F.lit("120.5"), "report_id")
+    rows.filter("report_id % 4 = 3").select(line).write.text(f"{base}-3")
+    read = reduce(DataFrame.unionByName, [imported(spark, f"{base}-{i}") for i in range(4)])
+    return read.select(F.col("notes").cast("bigint").alias("report_id"), "date", "species", "location", F.col("count").cast("double").alias("n"), "missing")
 
 
 @query("""WITH c AS (SELECT taxon, count(*) AS records FROM ob GROUP BY taxon), k AS (SELECT CAST(taxon AS VARCHAR) AS key, name, coalesce(records, 0) AS recordcount, CASE WHEN taxon % 11 = 0 THEN taxon % 2 = 0 END AS told FROM tx LEFT JOIN c USING (taxon))
