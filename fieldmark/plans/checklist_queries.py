@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions.season import band, haversine_m, recency, season_week
 from fieldmark.operators.core import absorbing_sum, beta_binomial, ece, eligible, first_by, islands, kernel, smoothed, top_k, unseen, weighted_quantile
 from fieldmark.operators.graph import components
+from fieldmark.operators.numbering import numbered
 from fieldmark.operators.places import cell
 from fieldmark.sources.tables import BINDING, checklists, observations, observers, table, taxa
 
@@ -226,9 +227,12 @@ def season_windows(spark, d):
 @query("""WITH c AS (SELECT city, observer, count(*) AS lists FROM cl JOIN pp USING (observer) GROUP BY city, observer)
 SELECT city, observer, lists, CASE WHEN count(*) OVER (PARTITION BY city) = 1 THEN 0.5 ELSE round(percent_rank() OVER (PARTITION BY city ORDER BY lists, observer), 6) END AS quantile FROM c""")
 def support_quantile(spark, d):
-    c = checklists(spark, d).join(observers(spark, d), "observer").groupBy("city", "observer").agg(F.count("*").alias("lists"))
-    w = W.partitionBy("city")
-    return c.withColumn("quantile", F.when(F.count("*").over(w) == 1, 0.5).otherwise(F.round(F.percent_rank().over(w.orderBy("lists", "observer")), 6)))
+    """Where each observer stands among those of the city by number of lists, from 0 to 1. Observers are numbered in ranges, so a large city is no single task."""
+    c = checklists(spark, d).groupBy("observer").agg(F.count("*").alias("lists")).join(observers(spark, d).select("observer", "city"), "observer")
+    c = numbered(c.select("city", "observer", "lists"), "number", "city", "lists", "observer")
+    of = c.groupBy("city").agg(F.min("number").alias("first"), F.count("*").alias("n"))
+    place = F.when(F.col("n") == 1, 0.5).otherwise(F.round((F.col("number") - F.col("first")) / (F.col("n") - 1), 6))
+    return c.join(of, "city").select("city", "observer", "lists", place.alias("quantile"))
 
 
 @query("""WITH v AS (SELECT family, n, sum(1 + idx) AS w FROM ob JOIN tx USING (taxon) GROUP BY family, n), c AS (SELECT *, sum(w) OVER (PARTITION BY family ORDER BY n) AS c, sum(w) OVER (PARTITION BY family) AS t FROM v)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.coordinates import bd09_to_gcj02, gcj02_to_wgs84, inside, ordered
 from fieldmark.operators.core import first_by, top_k
+from fieldmark.operators.names import containing
 from fieldmark.operators.numbering import numbered
 from fieldmark.plans.checklist_queries import QUERIES, SQL, day, query
 from fieldmark.sources.tables import checklists, observations, observers, table, taxa
@@ -169,13 +170,14 @@ n AS (SELECT DISTINCT replace(name, ' ', '') AS k FROM tx), e AS (SELECT asked,
 b AS (SELECT * FROM e UNION ALL SELECT * FROM c)
 SELECT q.asked, CASE count(k) WHEN 0 THEN 'none' WHEN 1 THEN 'matched' ELSE 'multiple' END AS status, count(k) AS candidates FROM q LEFT JOIN b ON b.asked = q.asked GROUP BY q.asked""")
 def fuzzy_names(spark, d):
-    """Asked names against the catalogue: equal without blanks and marks, else one holding the other. Only names without an equal one are compared pair by pair, both sides distinct names."""
+    """Asked names against the catalogue: equal without blanks and marks, else one holding the other. Only names without an equal one are compared, with those that share their rarest part."""
     t = taxa(spark, d)
     parts = F.split("name", " ")
     asked = F.concat(parts[0], F.when(F.col("taxon") % 3 == 0, ", ").otherwise(""), F.when(F.col("taxon") % 2 == 0, F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).otherwise(""), F.when(F.col("taxon") % 7 == 0, " .x").otherwise(""))
     q, n = t.select(match_key(asked).alias("asked")).distinct(), t.select(match_key(F.col("name")).alias("k")).distinct()
     equal = q.join(n, F.col("asked") == F.col("k"))
-    near = q.join(equal.select("asked"), "asked", "left_anti").join(n, F.contains("k", F.col("asked")) | F.contains("asked", F.col("k")))
+    open_ = q.join(equal.select("asked"), "asked", "left_anti")
+    near = containing(open_, "asked", n, "k").unionByName(containing(n, "k", open_, "asked")).distinct()
     c = equal.unionByName(near).groupBy("asked").agg(F.count("*").alias("candidates"))
     return q.join(c, "asked", "left").fillna(0, ["candidates"]).select("asked", F.when(F.col("candidates") == 0, "none").when(F.col("candidates") == 1, "matched").otherwise("multiple").alias("status"), "candidates")
 
