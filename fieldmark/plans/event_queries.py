@@ -24,7 +24,7 @@ ne AS (SELECT be.*, row_number() OVER (PARTITION BY be.taxon ORDER BY s, e, f, b
 
 def detections(spark, d):
     """taxon, report_id, idx, observer, day, x, y, weight: cells are a degree wide, so that events have neighbours."""
-    rows = checklists(spark, d).join(observations(spark, d), "report_id").join(observers(spark, d), "observer")
+    rows = checklists(spark, d).join(observers(spark, d), "observer").join(observations(spark, d), "report_id")
     return rows.select("taxon", "report_id", "idx", "observer", "day", *cell(1), (F.col("n") / 50).alias("weight"))
 
 
