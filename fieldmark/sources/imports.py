@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,8 @@ HEADERS = {
 }
 REQUIRED = ("date", "species", "location")
 FIELDS = ("date", "species", "location", "lat", "lng")
-HEADING = re.compile("date|species|location|lat|lng|common|observation", re.I)
+#: A header's spelling fills a cell, and no cell of headers begins with a digit: "hot plate" has "lat" in it and is none.
+HEADINGS = {a for aliases in HEADERS.values() for a in aliases if len(a) > 1}
 
 
 def sniffed(head: str) -> str:
@@ -26,8 +26,10 @@ def sniffed(head: str) -> str:
             return "json" if isinstance(json.loads(head), dict) else "array"
         except ValueError:
             return "array"
-    if HEADING.search(head) and ("\t" in head or "," in head):
-        return "tsv" if "\t" in head else "csv"
+    sep = "\t" if "\t" in head else ","
+    cells = [c.strip(' "\ufeff') for c in head.split(sep)]
+    if len(cells) > 1 and any(plain(c) in HEADINGS for c in cells) and not any(c[:1].isdigit() for c in cells):
+        return "tsv" if sep == "\t" else "csv"
     return "lines"
 
 
