@@ -14,6 +14,16 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
+PART = 1_000_000  # rows, about, that one task groups
+
+
+def spread(df: DataFrame, of: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into as many parts as `of` (a plain read, as many rows as df or more) has millions of rows: what is grouped by more than
+    these keys after it needs no further shuffle, and tasks don't grow with the tables."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-of.count() // PART)), *keys)
+
+
 def top_k(df: DataFrame, keys: list[str], k: int, *order: Column, rank: str = "rank") -> DataFrame:
     """The first k rows of each key, ranked; Spark cuts partitions to k before the shuffle."""
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
