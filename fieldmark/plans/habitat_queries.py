@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldmark.functions.season import circular, season_week
-from fieldmark.operators.core import first_by, islands, kernel, smoothed, top_k
+from fieldmark.operators.core import first_by, islands, kernel, smoothed, spread, top_k
+from fieldmark.operators.neighbours import chosen, nearest_rows, pools
 from fieldmark.operators.places import cell, ring
 from fieldmark.plans.checklist_queries import KERNEL_SQL, QUERIES, SQL, WEEK, query
 from fieldmark.plans.place_queries import CELL_SQL
@@ -251,12 +252,14 @@ s AS (SELECT taxon, event, sum(n) AS n, min(year(day)) AS y FROM v GROUP BY taxo
 SELECT taxon, events, years, round(largest * 1.0 / records, 6) AS dominant, CASE WHEN years = 1 THEN 'one year' WHEN largest * 1.0 / records >= 0.8 THEN 'dominant' ELSE '' END AS reason FROM t""")
 def event_summary(spark, d):
     """Each taxon's occurrence events (days at most three apart), the share of the largest, and why it may be a vagrant. Reads all observations."""
-    days = checklists(spark, d).join(observations(spark, d), "report_id").groupBy("taxon", "day").agg(F.count("*").alias("n"))
+    rows = spread(checklists(spark, d).join(observations(spark, d), "report_id").select("taxon", "day"), observations(spark, d), "taxon")
+    days = rows.groupBy("taxon", "day").agg(F.count("*").alias("n"))
     by = W.partitionBy("taxon").orderBy("day")
     fresh = F.when(F.datediff("day", F.lag("day").over(by)) <= 3, 0).otherwise(1)
     v = days.withColumn("fresh", fresh).withColumn("event", F.sum("fresh").over(by))
     s = v.groupBy("taxon", "event").agg(F.sum("n").alias("n"), F.min(F.year("day")).alias("y"))
-    t = s.groupBy("taxon").agg(F.count("*").alias("events"), F.countDistinct("y").alias("years"), (F.max("n") / F.sum("n")).alias("share"))
+    y = s.groupBy("taxon", "y").agg(F.count("*").alias("events"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    t = y.groupBy("taxon").agg(F.sum("events").alias("events"), F.count("y").alias("years"), (F.max("most") / F.sum("n")).alias("share"))
     return t.select("taxon", "events", "years", F.round("share", 6).alias("dominant"), F.when(F.col("years") == 1, "one year").when(F.col("share") >= 0.8, "dominant").otherwise("").alias("reason"))
 
 
