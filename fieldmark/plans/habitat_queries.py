@@ -11,6 +11,7 @@ from fieldmark.operators.neighbours import chosen, nearest_rows, pools
 from fieldmark.operators.places import cell, ring
 from fieldmark.plans.checklist_queries import KERNEL_SQL, QUERIES, SQL, WEEK, query
 from fieldmark.plans.place_queries import CELL_SQL
+from fieldmark.sources.shared import kept
 from fieldmark.sources.tables import checklists, observations, observers, table, taxa
 
 STRONG_SQL = f"""w AS (SELECT taxon, {WEEK} AS week, count(*) AS n FROM cl JOIN ob USING (report_id) GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY taxon ORDER BY n, week) - 1 AS k, count(*) OVER (PARTITION BY taxon) AS c, max(n) OVER (PARTITION BY taxon) AS peak FROM w),
@@ -72,15 +73,11 @@ po AS (SELECT *, count(*) FILTER (same) OVER (PARTITION BY a) >= {ENOUGH} AS loc
 SELECT a, count(*) AS neighbours, max(CAST(local AS INT)) AS local, round(sum(exp(-0.5 * pow(dist / {BANDWIDTH}, 2))), 6) AS weight, CAST(sum(b) AS BIGINT) AS ids FROM rk WHERE k <= {NEAREST} GROUP BY a""", bound=False)
 def habitat_neighbours(spark, d):
     """Each cell's 24 nearest cells by Hellinger distance within a radius, of its own label if that has eight of them, else of all,
-    with Gaussian weights. Cells meet in a grid of three of the roots as wide as the radius allows them to differ, by an equi join."""
-    s, step = habitat_shares(spark, d), RADIUS * 2**0.5
-    grid = lambda r: r.withColumns({c: F.floor(F.col(f"s{g}") / step) for g, c in enumerate(("x", "y", "z"))})
-    left = ring(grid(s)).withColumn("z", F.explode(F.sequence(F.col("z") - 1, F.col("z") + 1)))
-    right = grid(s).select("x", "y", "z", F.col("vec_id").alias("b"), F.col("label").alias("other"), *[F.col(f"s{g}").alias(f"t{g}") for g in range(GROUPS)])
-    dist = F.sqrt(sum(F.pow(F.col(f"s{g}") - F.col(f"t{g}"), 2) for g in range(GROUPS))) / 2**0.5
-    pairs = left.join(right, ["x", "y", "z"]).filter("vec_id <> b").select(F.col("vec_id").alias("a"), "b", (F.col("label") == F.col("other")).alias("same"), dist.alias("dist")).filter(F.col("dist") <= RADIUS)
-    pool = pairs.withColumn("local", F.count_if("same").over(W.partitionBy("a")) >= ENOUGH).filter("same OR NOT local")
-    near = top_k(pool, ["a"], NEAREST, F.round("dist", 12), F.col("b"))
+    with Gaussian weights. Cells meet in grids as fine as each place allows, copies of a vector are asked for once."""
+    dims = [f"s{g}" for g in range(GROUPS)]
+    rows = habitat_shares(spark, d).withColumns({c: F.col(c) / 2**0.5 for c in dims})
+    of = lambda own: nearest_rows(rows, "vec_id", "label", dims, NEAREST, RADIUS, own)
+    near = chosen(kept(pools(of(True), of(False)), "habitat-pools"), NEAREST, ENOUGH).withColumn("local", F.col("locals") >= ENOUGH)
     return near.groupBy("a").agg(F.count("*").alias("neighbours"), F.max(F.col("local").cast("int")).alias("local"), F.round(F.sum(F.exp(-0.5 * F.pow(F.col("dist") / BANDWIDTH, 2))), 6).alias("weight"), F.sum("b").alias("ids"))
 
 
