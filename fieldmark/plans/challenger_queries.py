@@ -45,14 +45,17 @@ def folds(lists: DataFrame) -> DataFrame:
 
 def scored(lists: DataFrame) -> DataFrame:
     """fold, kind, target, city, bins, training, total, positives, with the chances of the champion (p: the city's share, held to the share of all) and of the
-    challenger (q). Lists alike in city and bins are counted once, so each further step works on counts."""
+    challenger (q). Lists alike in city and bins are counted once, so each further step works on counts; the trees don't see the city, so they grow on counts by bins."""
     target = F.explode(F.array(*map(F.lit, TARGETS))).alias("target")
     counted = lists.groupBy(*FOLD, "city", "bins", "training", "found").agg(F.count("*").alias("n")).select("*", target)
     cells = counted.groupBy(*FOLD, "target", "city", "bins", "training").agg(F.sum("n").alias("total"), F.sum(F.when(F.array_contains("found", F.col("target")), F.col("n")).otherwise(0)).alias("positives"))
     cells = kept(cells, "challenger-cells")
     city = cells.filter("training").groupBy("fold", "target", "city").agg(F.sum("total").alias("e"), F.sum("positives").alias("d"))
     wide = city.groupBy("fold", "target").agg(((F.sum("d") + 1) / (F.sum("e") + 2)).alias("all"))
-    rows = boosted(cells, ["fold", "target"]).join(wide, ["fold", "target"], "left").join(city, ["fold", "target", "city"], "left").fillna(0.5, ["all"]).fillna(0, ["e", "d"])
+    of = lambda c: F.sum(F.when(F.col("training"), F.col(c)).otherwise(0)).alias(c)
+    grown = cells.groupBy("fold", "target", "bins").agg(of("total"), of("positives")).withColumn("training", F.col("total") > 0)
+    chance = boosted(grown, ["fold", "target"]).select("fold", "target", "bins", "q")
+    rows = cells.join(chance, ["fold", "target", "bins"]).join(wide, ["fold", "target"], "left").join(city, ["fold", "target", "city"], "left").fillna(0.5, ["all"]).fillna(0, ["e", "d"])
     return kept(rows.withColumn("p", (F.col("all") * PRIOR + F.col("d")) / (PRIOR + F.col("e"))).drop("all", "e", "d"), "challenger-scores")
 
 
@@ -72,9 +75,11 @@ def metrics(spark, d) -> DataFrame:
     each = by_observer.select(*FOLD, "training", F.inline(F.array(*[F.struct(F.lit(t).alias("target"), (F.col(f"n{i}") > 0).alias("with"), (F.col(f"n{i}") < F.col("n")).alias("without")) for i, t in enumerate(TARGETS)])))
     of = lambda c, training: F.count_if(F.col(c) & (F.col("training") == training))
     support = each.groupBy(*key).agg(of("with", True).alias("train_positives"), of("without", True).alias("train_negatives"), of("with", False).alias("held_positives"), of("without", False).alias("held_negatives"))
-    tested = lists.filter("NOT training").select("report_id", "fold", "city", "bins", "found", F.explode(F.array(*map(F.lit, TARGETS))).alias("target"))
+    # Lists alike in city, bins and groups rank alike, so each kind is ranked once and counts n times.
+    alike = lists.filter("NOT training").groupBy("fold", "city", "bins", "found").agg(F.count("*").alias("n"))
+    tested = alike.select("*", F.explode(F.array(*map(F.lit, TARGETS))).alias("target"))
     ranked = tested.join(held.select("fold", "target", "city", "bins", "p", "q"), ["fold", "target", "city", "bins"]).withColumn("y", F.array_contains("found", F.col("target")).cast("int"))
-    recall = swapped_recall(ranked, ["fold", "report_id"], "target", "p", "q", "y", FIRST).groupBy("fold", "target").agg(F.avg("delta").alias("recall_delta"))
+    recall = swapped_recall(ranked, ["fold", "city", "bins", "found", "n"], "target", "p", "q", "y", FIRST).groupBy("fold", "target").agg((F.sum(F.col("delta") * F.col("n")) / F.sum("n")).alias("recall_delta"))
     out = reduce(lambda a, b: a.join(b, key, "left"), [support, *parts]).join(recall, ["fold", "target"], "left")
     both = reduce(lambda a, b: a & b, [F.col(c) > 0 for c in ("train_positives", "train_negatives", "held_positives", "held_negatives")])
     return out.withColumn("valid", both)
